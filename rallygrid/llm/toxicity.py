@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from .labelled import calibrated, id_remainder, isotonic, training_ids
 
 WINDOW = 40  # bytes; a window ends with the word that reaches it
-ORDINARY_BYTES, TOXIC_BYTES = 8_000, 2_000
+ORDINARY_BYTES, TOXIC_BYTES = 8_000, 4_000
 STEP = 12  # the toxic part is cut to a multiple, so that both dictionaries index the shared part alike
-TRAINING_ROWS, TRAINING_CHARS = 12_000, 20_000
+TRAINING_ROWS, TRAINING_CHARS = 8_000, 20_000
+GRAM, SURPRISE = 5, 8.0  # bytes of a letter group; nats by which its contexts must exceed chance
 _MARKS = b".,!?;:\"'()|"
 
 
@@ -47,9 +48,10 @@ class ToxicityModel:
     def gains(self, text: str | None) -> np.ndarray:
         """For each window, the bytes that the toxic dictionary saves over the ordinary one."""
         if self._compress is None:
-            params = zstandard.ZstdCompressionParameters.from_level(
-                3, strategy=zstandard.STRATEGY_GREEDY, min_match=5, write_content_size=0, write_checksum=0, write_dict_id=0,
-                format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+            # the tables' sizes are given, or they would follow the dictionary's and change how all windows are parsed
+            params = zstandard.ZstdCompressionParameters(
+                window_log=16, hash_log=15, chain_log=16, search_log=6, min_match=4, target_length=64, strategy=zstandard.STRATEGY_LAZY2,
+                write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
             )
             self._compress = [
                 zstandard.ZstdCompressor(
@@ -93,22 +95,42 @@ class ToxicityModel:
 def train_dictionaries(texts: list[str], y: np.ndarray, ordinary_bytes: int = ORDINARY_BYTES, toxic_bytes: int = TOXIC_BYTES) -> tuple[bytes, bytes]:
     """Dictionary contents for ordinary and for toxic text.
 
-    The ordinary one is trained on windows of ordinary texts.  The toxic one is
-    trained on what sets toxic texts apart: words found in more contexts there, by
-    the word before them, than in ordinary texts.  Counting contexts and not
-    occurrences keeps copies of one text from counting twice.
+    The ordinary one is trained on windows of ordinary texts, the toxic one on what
+    sets toxic texts apart: the parts of their words whose letter groups stand in
+    more contexts, by the word before them, than ordinary texts account for.
+    Counting contexts and not occurrences keeps copies of one text from counting
+    twice.
     """
-    seen: tuple[set, set] = (set(), set())
+    pairs: tuple[set, set] = (set(), set())
     for text, label in zip(texts, y, strict=True):
         words = [w.strip(_MARKS) for w in text.encode("utf-8", "surrogatepass").lower().split()]
-        seen[int(label)].update(zip([b"", *words], words, strict=False))
-    counts = [Counter(w for _, w in pairs) for pairs in seen]
-    total = [max(1, len(pairs)) for pairs in seen]
-    need = max(3, 0.005 * float((y == 1).sum()))
-    apart = {w: c for w, c in counts[1].items() if c >= need and len(w) >= 3 and c / total[1] > 5 * (counts[0][w] + 1) / total[0]}
+        pairs[int(label)].update(zip([b"", *words], words, strict=False))
+    words = [Counter(w for _, w in found) for found in pairs]
+    grams = []
+    for counted in words:
+        c: Counter = Counter()
+        for w, n in counted.items():
+            for g in set(_grams(w)):
+                c[g] += n
+        grams.append(c)
+    share = len(pairs[1]) / max(1, len(pairs[0]) + len(pairs[1]))
+    apart = set()
+    for g, n in grams[1].items():
+        expected = (n + grams[0][g]) * share
+        if n > 2 * expected and n * np.log(n / expected) - (n - expected) > SURPRISE:
+            apart.add(g)
+    told: Counter = Counter()
+    for w, n in words[1].items():
+        at = [k for k, g in enumerate(_grams(w)) if g in apart]
+        if at:
+            told[(b" " + w + b" ")[at[0] : at[-1] + GRAM]] += n
     samples = [w for text, label in zip(texts, y, strict=True) if not label for w in windows(text)]
-    told = [b" " + w + b" " for w, c in sorted(apart.items()) for _ in range(c)]
-    return _trained(samples, ordinary_bytes, 32), _trained(told, toxic_bytes, 16)
+    return _trained(samples, ordinary_bytes, 32), _trained([w for w, n in sorted(told.items()) for _ in range(n)], toxic_bytes, 16)
+
+
+def _grams(word: bytes) -> list[bytes]:
+    padded = b" " + word + b" "
+    return [padded[k : k + GRAM] for k in range(len(padded) - GRAM + 1)]
 
 
 def _trained(samples: list[bytes], size: int, segment: int) -> bytes:

@@ -14,19 +14,28 @@ from .text_stats import AT, count_rows
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
-#: Each rule: name, measure of the counts, and two bounds.  Beyond the second bound it
-#: votes bad, within the first good, between them it abstains.
-RULES = [
+#: Measures of a text: name, measure of the counts, and two bounds: up to the first it is
+#: as in plain prose, from the second on it is a fault.
+MEASURES = [
     ("symbols", lambda c: c["n_symbols"] / c["words"], 0.02, 0.15),
-    ("repeated_words", lambda c: c["n_repeat_words"] / c["words"], 0.05, 0.25),
-    ("repeated_lines", lambda c: c["n_dup_lines"] / c["lines"], 0.05, 0.30),
     ("capitals", lambda c: c["n_upper"] / np.maximum(c["n_upper"] + c["n_lower"], 1), 0.12, 0.40),
     ("marks", lambda c: c["n_marks"] / c["words"], 0.05, 0.30),
+    ("word_length", lambda c: np.abs(c["word_chars"] / c["words"] - 5.2), 1.6, 4.5),
+    ("repeated_words", lambda c: c["n_repeat_words"] / c["words"], 0.05, 0.25),
+    ("repeated_lines", lambda c: c["n_dup_lines"] / c["lines"], 0.05, 0.30),
     ("sameness", lambda c: 1 - np.log(np.maximum(c["n_distinct"], 1)) / np.log(c["words"] + 1), 0.12, 0.30),
     ("top_word", lambda c: c["n_top"] / c["words"], 0.12, 0.30),
     ("twins", lambda c: c["n_twins"] / c["words"], 0.05, 0.25),
-    ("word_length", lambda c: np.abs(c["word_chars"] / c["words"] - 5.2), 1.6, 4.0),
 ]
+
+#: Rules: each measure votes bad on a fault or abstains; one rule votes good where all
+#: measures are as in plain prose, or abstains.
+RULES = [name for name, *_ in MEASURES] + ["plain"]
+
+#: Where the accuracies begin: a fault is telling.  The share of good texts is a given and
+#: not estimated: a rule that mostly votes alone would else follow it and not its votes.
+START = np.array([0.97] * len(MEASURES) + [0.8])
+PRIOR = 0.7
 LONG = 20  # a text of fewer words gives no votes on repetition; they would say little
 
 
@@ -35,9 +44,12 @@ def votes(counts: np.ndarray) -> np.ndarray:
     c = {name: counts[:, k].astype(float) for name, k in AT.items()}
     c["words"], c["lines"] = np.maximum(c["n_words"], 1), np.maximum(c["n_lines"], 1)
     out = np.zeros((len(counts), len(RULES)), np.int8)
-    for k, (_, measure, good, bad) in enumerate(RULES):
+    plain = np.zeros((len(counts), len(MEASURES)), bool)
+    for k, (_, measure, good, bad) in enumerate(MEASURES):
         m = measure(c)
-        out[:, k] = (m <= good).astype(np.int8) - (m >= bad).astype(np.int8)
+        out[:, k] = -(m >= bad).astype(np.int8)
+        plain[:, k] = m <= good
+    out[:, -1] = plain.all(axis=1)
     out[c["n_words"] < LONG] = 0
     return out
 
@@ -63,23 +75,22 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(np.log(self.prior / (1 - self.prior)) + v @ weight, -500, 500)))
 
 
-def fit_label_model(v: np.ndarray, n: np.ndarray, rounds: int = 200, start: float = 0.8, prior: float = 0.8) -> LabelModel:
+def fit_label_model(v: np.ndarray, n: np.ndarray, start: np.ndarray, prior: float = PRIOR, rounds: int = 300) -> LabelModel:
     """Expectation-maximisation over patterns of votes and how many rows have each.
 
     Accuracies begin at ``start`` and are drawn to it by ten imagined votes, so a
-    rule that hardly votes stays near it; they stay in [0.55, 0.99], since a rule is
-    taken to be better than chance, and the prior in [0.5, 0.95].
+    rule that hardly votes stays near it; they stay in [0.55, 0.995], since a rule is
+    taken to be better than chance.
     """
-    model = LabelModel(np.full(v.shape[1], start), prior)
+    model = LabelModel(start, prior)
     if not len(v):
         return model
     for _ in range(rounds):
         good = model.posterior(v)
         right = (n * good) @ (v == 1) + (n * (1 - good)) @ (v == -1)
-        accuracy = np.clip((right + 10 * start) / (n @ (v != 0) + 10), 0.55, 0.99)
-        share = float(np.clip((n * good).sum() / n.sum(), 0.5, 0.95))
-        moved = max(abs(accuracy - model.accuracy).max(), abs(share - model.prior))
-        model = LabelModel(accuracy, share)
+        accuracy = np.clip((right + 10 * start) / (n @ (v != 0) + 10), 0.55, 0.995)
+        moved = abs(accuracy - model.accuracy).max()
+        model = LabelModel(accuracy, prior)
         if moved < 1e-9:
             break
     return model
@@ -95,14 +106,14 @@ def weak_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and repeated ids go through; further columns are ignored.
 
     The estimation sees every text, as counts of vote patterns, of which there are
-    at most 3 to the number of rules.
+    at most 2 to the number of rules.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, " + ", ".join(f"{b} long" for b in BASE) + ", pattern long"
     counted = written(docs.mapInArrow(_count, schema), "votes")
-    patterns = counted.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").toPandas()  # at most 3**rules rows
+    patterns = counted.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").toPandas()  # at most 2**rules rows
     v = unpattern(patterns["pattern"].to_numpy(np.int64), len(RULES))
-    model = fit_label_model(v, patterns["n"].to_numpy(float))
+    model = fit_label_model(v, patterns["n"].to_numpy(float), START)
     quality = dict(zip(patterns["pattern"].tolist(), model.posterior(v).tolist(), strict=True))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
