@@ -18,6 +18,7 @@ from .superminhash import band_keys, shingle_sets, signatures
 BANDS, ROWS = 40, 4
 WIDTH, PERCENT = 5, 75
 TEXTS = 1_000  # documents signed at a time
+BLOCK = 400  # classes indexed at a time, about
 
 
 def near_duplicates(
@@ -39,9 +40,11 @@ def near_duplicates(
     2. In each band, a class is paired with one leader of its bucket, another one
        from band to band.  The pairs are verified on the full sets and joined into
        components.
-    3. Buckets that still hold several components pair the rows outside their
-       largest component with all others, so no link among candidates is lost,
-       while a large group of near copies costs rows in proportion to its size.
+    3. What the bands connect is a cluster.  In each cluster that still holds several
+       components, the classes outside the largest one are compared with all of the
+       cluster, in blocks of ``BLOCK`` that stream past an index of their shingles.
+       So no link between classes that some band brings together is lost, and a
+       large group of near copies makes no rows for its pairs.
 
     Empty or null texts, and texts of white space, have no shingles and link with
     nothing.  Rows of one id are one document.  A null id takes no part: its
@@ -64,8 +67,8 @@ def near_duplicates(
     tried = written(_pairs(members.select("id", F.col("leader").alias("other"))), "tried")
     links = written(_verified(tried, texts, width, percent), "links")
     labels = connected_components(links)
-    later = _across(members, labels).join(tried, ["a", "b"], "left_anti")
-    more = written(_verified(written(later, "later"), texts, width, percent), "links")
+    clusters = connected_components(tried)
+    more = written(_across(clusters, labels, texts, width, percent), "links")
     if more.limit(1).count():
         labels = connected_components(links.unionByName(more))
 
@@ -102,17 +105,85 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
-def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different components: all rows against those outside the largest one."""
+def _across(clusters: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between different components of one cluster; ``(a, b)``, enough of them to join what links."""
     named = written(
-        members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "named"
+        clusters.select("id", F.col("label").alias("cluster")).join(labels, "id", "left").select("cluster", "id", F.coalesce("label", "id").alias("label")),
+        "named",
     )
-    sizes = named.groupBy("key", "label").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", "label")).alias("main"))
-    open_ = written(largest.where("parts > 1").select("key", "main"), "open")
-    rows = written(named.join(open_, "key"), "open-rows")
-    minor = rows.where("label <> main").select("key", F.col("id").alias("other"), F.col("label").alias("other_label"))
-    return _pairs(rows.join(minor, "key").where("label <> other_label").select("id", "other"))
+    sizes = named.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("cluster").agg(
+        F.count("*").alias("parts"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main")
+    )
+    blocks = F.ceil((F.col("n") - F.col("most")) / F.lit(BLOCK)).cast("int").alias("blocks")
+    open_ = written(largest.where("parts > 1 AND n > 2").select("cluster", "main", blocks), "open")  # two have met already
+    rows = written(named.join(open_, "cluster").join(texts.withColumnRenamed("doc_id", "id"), "id"), "open-rows")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    indexed = rows.where("label <> main").select("cluster", own.alias("block"), F.lit(0).alias("role"), "id", "label", "text")
+    passing = rows.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id", "label", "text")
+    dealt = indexed.unionByName(passing).repartition("cluster", "block").sortWithinPartitions("cluster", "block", "role", "id")
+    return dealt.mapInArrow(_block_links(width, percent), "a long, b long")
+
+
+def _block_links(width: int, percent: int):
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block = None, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                sets = shingle_sets(part.column("text").to_pylist(), width)
+                a, b = [], []
+                names = [part.column(c).to_pylist() for c in ("cluster", "block", "role", "id", "label")]
+                for cluster, number, role, i, label, s in zip(*names, sets, strict=True):
+                    if key != (cluster, number):
+                        key, block = (cluster, number), _Block(percent)
+                    if role == 0:
+                        block.add(i, label, s)
+                    else:
+                        found = block.links(i, label, s)
+                        a += [min(i, j) for j in found]
+                        b += [max(i, j) for j in found]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return links
+
+
+class _Block:
+    """An index of some shingle sets, and which of their components have met others so far."""
+
+    def __init__(self, percent: int):
+        self.percent, self.ids, self.labels, self.sets, self.parent, self.index = percent, [], [], [], {}, None
+
+    def add(self, i: int, label: int, s: np.ndarray) -> None:
+        self.ids.append(i)
+        self.labels.append(label)
+        self.sets.append(s)
+
+    def _find(self, label: int) -> int:
+        while (up := self.parent.get(label, label)) != label:
+            self.parent[label] = self.parent.get(up, up)
+            label = up
+        return label
+
+    def links(self, i: int, label: int, s: np.ndarray) -> list[int]:
+        """Indexed ids that ``s`` links with, one for each component it wasn't yet joined to."""
+        if self.index is None:
+            shingles = np.concatenate(self.sets)
+            order = np.argsort(shingles, kind="stable")
+            self.index = shingles[order], np.repeat(np.arange(len(self.sets)), list(map(len, self.sets)))[order]
+            self.sizes = np.fromiter(map(len, self.sets), np.int64, len(self.sets))
+        shingles, owners = self.index
+        lo, hi = np.searchsorted(shingles, s), np.searchsorted(shingles, s, side="right")
+        n = hi - lo
+        hits = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        same = np.bincount(owners[hits], minlength=len(self.sizes))
+        out = []
+        for k in np.flatnonzero(100 * same >= self.percent * (self.sizes + len(s) - same)):
+            x, y = self._find(label), self._find(self.labels[k])
+            if x != y:
+                self.parent[x] = y
+                out.append(self.ids[k])
+        return out
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
