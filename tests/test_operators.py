@@ -108,7 +108,8 @@ def test_resumed_identities(spark):
     b, c = run([(12, 20, 10), (20, 21, 10)], 2), run([(24, 21, 10), (30, 22, 10)], 3)
     assert resumes(spark, a, b, c) == {(1, 2), (2, 3)}
     # two ends compete for one start: the earlier end takes the nearest, the later one what is left
-    assert resumes(spark, run([(8, 10, 10)], 1), run([(9, 10, 10)], 2), run([(12, 10, 10)], 3), run([(13, 11, 10)], 4)) == {(1, 3), (2, 4)}
+    rivals = run([(0, 10, 10), (8, 10, 10)], 1), run([(0, 10, 10), (9, 10, 10)], 2)
+    assert resumes(spark, *rivals, run([(12, 10, 10)], 3), run([(12, 11, 10)], 4)) == {(1, 3), (2, 4)}
 
 
 def test_resumes_match_a_plain_greedy(spark):
