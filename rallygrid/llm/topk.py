@@ -114,11 +114,15 @@ def _floor(df: DataFrame, need: int) -> DataFrame:
 
 
 def _phase(items: DataFrame, query: DataFrame, blocks: tuple[int, int], score, schema: str) -> DataFrame:
-    """Run ``score`` over all pairs of a block of candidates and a block of queries."""
+    """Run ``score`` over all pairs of a block of candidates and a block of queries.
+
+    The block numbers have one type on both sides: keys of different types would be
+    dealt to different tasks.
+    """
     many, few = blocks
-    item = items.select("vec_id", "code", "width", F.pmod(F.xxhash64("vec_id", "code"), F.lit(many)).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(few - 1))).alias("b"))
+    item = items.select("vec_id", "code", "width", F.pmod(F.xxhash64("vec_id", "code"), F.lit(many)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(few - 1))).alias("b"))
     more = [c for c in ("least", "floor") if c in query.columns]
-    asked = query.select("q", "code", "width", F.pmod("q", F.lit(few)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("c"), *more)
+    asked = query.select("q", "code", "width", F.pmod("q", F.lit(few)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("c"), *more)
     return asked.groupBy("width", "b", "c").cogroup(item.groupBy("width", "b", "c")).applyInPandas(score, schema)
 
 

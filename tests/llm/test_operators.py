@@ -343,7 +343,9 @@ def test_top_k(spark, sf_dir):
     for given in (rows, rows[:1], []):
         vectors = topk.quantise(spark.createDataFrame(given, "vec_id long, embedding array<double>"))
         for blocks in ({}, {"candidates": 64, "queries": 3, "lists": 3}):
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(not blocks).lower())
             got = topk.top_k(vectors, **blocks).collect()
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
             assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == brute_top(given)
             assert len(got) == len(brute_top(given))
 
