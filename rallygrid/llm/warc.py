@@ -62,7 +62,7 @@ def write_archives(
         .withColumn("archive", F.pmod(F.xxhash64("page_id", "digest", "url"), F.lit(archives)).cast("int"))
         .select("archive", "page_id", "url", "digest", "holder", F.when(F.col("holder").isNull(), F.col("payload")).alias("payload"), F.octet_length("payload").alias("size"))
     )
-    sorted_ = dealt.repartition(int(archives), "archive").sortWithinPartitions("archive", "page_id", "digest", "url")
+    sorted_ = dealt.repartitionById(int(archives), "archive").sortWithinPartitions("archive", "page_id", "digest", "url")
     return written(sorted_.mapInArrow(_writer(folder, date), "archive string, records long"), "manifest")
 
 
