@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: Rows to a task: small edge tables aren't dealt over many files.
+TASK_ROWS = 100_000
+
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Label each id of ``edges(a, b)`` with the smallest id that it reaches.
@@ -24,14 +27,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not state[0]:
             break
+        tasks = -(-2 * state[0] // TASK_ROWS)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks), "least")
         large = written(
-            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large"
+            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks), "large"
         )
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks), "least")
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        now = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(tasks), "edges")
         before, state = state, _fingerprint(now)
         if state == before:
             break

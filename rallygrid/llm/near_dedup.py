@@ -66,13 +66,12 @@ def near_duplicates(
 
     tried = written(_pairs(members.select("id", F.col("leader").alias("other"))), "tried")
     links = written(_verified(tried, texts, width, percent), "links")
-    labels = connected_components(links)
-    clusters = connected_components(tried)
-    more = written(_across(clusters, labels, texts, width, percent), "links")
-    if more.limit(1).count():
-        labels = connected_components(links.unionByName(more))
+    labels = written(connected_components(links), "labels")
+    more = written(_across(tried, labels, texts, width, percent), "links")
+    merged = written(connected_components(more).select(F.col("id").alias("label"), F.col("label").alias("whole")), "labels")
 
-    of_class = classes.join(labels, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("label", "rep").alias("group"))
+    of_class = classes.join(labels, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("label", "rep").alias("label"))
+    of_class = of_class.join(merged, "label", "left").select("digest", F.coalesce("whole", "label").alias("group"))
     # rows of one id that hold different texts belong to the smallest group among them
     found = signed.join(written(of_class, "groups"), "digest", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("group", "doc_id")).alias("component_id")
@@ -105,12 +104,18 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
-def _across(clusters: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between different components of one cluster; ``(a, b)``, enough of them to join what links."""
-    named = written(
-        clusters.select("id", F.col("label").alias("cluster")).join(labels, "id", "left").select("cluster", "id", F.coalesce("label", "id").alias("label")),
-        "named",
-    )
+def _across(tried: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between different components of one cluster; ``(a, b)`` are labels, enough of them to join what links.
+
+    Clusters are found on the graph of components, whose edges are the tried pairs
+    that stayed apart.
+    """
+    named = texts.select(F.col("doc_id").alias("id")).join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    named = written(named, "named")
+    ends = tried.join(named.select(F.col("id").alias("a"), F.col("label").alias("x")), "a").join(named.select(F.col("id").alias("b"), F.col("label").alias("y")), "b")
+    apart = written(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "apart")
+    clusters = written(connected_components(apart).select(F.col("id").alias("label"), F.col("label").alias("cluster")), "clusters")
+    named = written(named.join(clusters, "label").select("cluster", "id", "label"), "named")
     sizes = named.groupBy("cluster", "label").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("cluster").agg(
         F.count("*").alias("parts"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main")
@@ -133,16 +138,16 @@ def _block_links(width: int, percent: int):
                 part = batch.slice(at, TEXTS)
                 sets = shingle_sets(part.column("text").to_pylist(), width)
                 a, b = [], []
-                names = [part.column(c).to_pylist() for c in ("cluster", "block", "role", "id", "label")]
-                for cluster, number, role, i, label, s in zip(*names, sets, strict=True):
+                names = [part.column(c).to_pylist() for c in ("cluster", "block", "role", "label")]
+                for cluster, number, role, label, s in zip(*names, sets, strict=True):
                     if key != (cluster, number):
                         key, block = (cluster, number), _Block(percent)
                     if role == 0:
-                        block.add(i, label, s)
+                        block.add(label, s)
                     else:
-                        found = block.links(i, label, s)
-                        a += [min(i, j) for j in found]
-                        b += [max(i, j) for j in found]
+                        found = block.links(label, s)
+                        a += [min(label, other) for other in found]
+                        b += [max(label, other) for other in found]
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return links
@@ -152,10 +157,9 @@ class _Block:
     """An index of some shingle sets, and which of their components have met others so far."""
 
     def __init__(self, percent: int):
-        self.percent, self.ids, self.labels, self.sets, self.parent, self.index = percent, [], [], [], {}, None
+        self.percent, self.labels, self.sets, self.parent, self.index = percent, [], [], {}, None
 
-    def add(self, i: int, label: int, s: np.ndarray) -> None:
-        self.ids.append(i)
+    def add(self, label: int, s: np.ndarray) -> None:
         self.labels.append(label)
         self.sets.append(s)
 
@@ -165,8 +169,8 @@ class _Block:
             label = up
         return label
 
-    def links(self, i: int, label: int, s: np.ndarray) -> list[int]:
-        """Indexed ids that ``s`` links with, one for each component it wasn't yet joined to."""
+    def links(self, label: int, s: np.ndarray) -> list[int]:
+        """Labels of indexed sets that ``s`` links with, one for each component it wasn't yet joined to."""
         if self.index is None:
             shingles = np.concatenate(self.sets)
             order = np.argsort(shingles, kind="stable")
@@ -182,7 +186,7 @@ class _Block:
             x, y = self._find(label), self._find(self.labels[k])
             if x != y:
                 self.parent[x] = y
-                out.append(self.ids[k])
+                out.append(self.labels[k])
         return out
 
 
