@@ -114,11 +114,7 @@ def train_dictionaries(texts: list[str], y: np.ndarray, ordinary_bytes: int = OR
                 c[g] += n
         grams.append(c)
     share = len(pairs[1]) / max(1, len(pairs[0]) + len(pairs[1]))
-    apart = set()
-    for g, n in grams[1].items():
-        expected = (n + grams[0][g]) * share
-        if n > 2 * expected and n * np.log(n / expected) - (n - expected) > SURPRISE:
-            apart.add(g)
+    apart = {g for g, n in grams[1].items() if _surprise(n, grams[0][g], share) > SURPRISE}
     told: Counter = Counter()
     for w, n in words[1].items():
         at = [k for k, g in enumerate(_grams(w)) if g in apart]
@@ -128,6 +124,17 @@ def train_dictionaries(texts: list[str], y: np.ndarray, ordinary_bytes: int = OR
     return _trained(samples, ordinary_bytes, 32), _trained([w for w, n in sorted(told.items()) for _ in range(n)], toxic_bytes, 16)
 
 
+def _surprise(toxic: int, ordinary: int, share: float) -> float:
+    """Nats by which toxic contexts exceed chance, where ``share`` of all contexts are toxic; 0 below twice the ordinary rate.
+
+    Both counts are weighed against the share, so it works for any mixture of labels.
+    """
+    if not 0 < share < 1 or toxic * (1 - share) <= 2 * ordinary * share:
+        return 0.0
+    n = toxic + ordinary
+    return toxic * np.log(toxic / (n * share)) + (ordinary * np.log(ordinary / (n * (1 - share))) if ordinary else 0.0)
+
+
 def _grams(word: bytes) -> list[bytes]:
     padded = b" " + word + b" "
     return [padded[k : k + GRAM] for k in range(len(padded) - GRAM + 1)]

@@ -271,6 +271,18 @@ def test_held_out_accuracy(spark, name, label, least):
     assert all(zlib.crc32(str(i).encode()) % parts == out for i in rows.doc_id)
 
 
+@pytest.mark.parametrize("toxic_share", [0.05, 0.5, 0.8])
+def test_toxic_dictionary_at_any_share_of_labels(toxic_share):
+    rng = np.random.default_rng(9)
+    y = (rng.uniform(size=600) < toxic_share).astype(int)
+    plain = [f"w{k}{'aeiou'[k % 5]}n" for k in range(300)]
+    texts = [" ".join([*rng.choice(plain, 30), *([f"vilegrub{rng.integers(90)}"] if label else [])]) for label in y]
+    ordinary, toxic = toxicity.train_dictionaries(texts, y)
+    assert b"vilegrub" in toxic and b"vilegrub" not in ordinary
+    model = toxicity.ToxicityModel(ordinary, toxic)
+    assert np.mean([model.gains(t).max() for t in np.array(texts)[y == 1]]) > np.mean([model.gains(t).max() for t in np.array(texts)[y == 0]]) + 2
+
+
 def test_isotonic():
     from rallygrid.llm.labelled import calibrated, isotonic
 
