@@ -71,10 +71,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, lists: int = LISTS, c
     1. every block of candidates gives the head of each list of each query; the
        ``k + 1`` best partial sums put a floor under the result, and a ``lists``-th
        of it is the uniform threshold;
-    2. every block gives the candidates that some list holds at the threshold or
-       above and whose greatest possible score reaches the floor; their lower bounds
-       raise the floor, and those that can't reach it go;
-    3. the scores of the rest are computed in full.
+    2. the floor goes to every block, which gathers the candidates that some list
+       holds at the threshold or above; all others score below the floor;
+    3. their scores are resolved in full where the vectors are, and each block gives
+       its ``k + 1`` best, so rows out of a block don't grow with its candidates.
     """
     need = k + 1
     vectors = written(vectors, "codes")
@@ -93,14 +93,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, lists: int = LISTS, c
     bounds = least.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("list", "least"))).alias("least"))
     bounds = written(bounds.join(_floor(sums, need), "q", "left").select("q", "least", F.coalesce("floor", F.lit(0)).alias("floor")), "bounds")
 
-    second = _phase(items, query.join(bounds, "q"), blocks, _sufficient(lists), "q long, vec_id long, low long, high double")
-    second = written(second, "sufficient")
-    reach = second.join(_floor(second, need), "q", "left").where(F.col("high") >= F.coalesce("floor", F.lit(0)))
-
-    left = reach.select("q", "vec_id").join(query.withColumnRenamed("code", "query_code"), "q")
-    exact = left.join(items, ["vec_id", "width"]).select("q", "vec_id", "width", "query_code", "code").mapInArrow(_resolve, "q long, vec_id long, score long")
+    third = written(_phase(items, query.join(bounds, "q"), blocks, _resolved(need, lists), "q long, vec_id long, score long"), "resolved")
     nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
-    best = written(exact.withColumn("n", nth).where(F.col("n") <= need).drop("n"), "best")
+    best = written(third.withColumn("n", nth).where(F.col("n") <= need).drop("n"), "best")
 
     answers = asked.join(query, ["width", "code"]).select(F.col("vec_id").alias("query_id"), "q").join(best, "q").where("query_id <> vec_id")
     nth = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id"))
@@ -146,40 +141,34 @@ def _heads(need: int, lists: int):
     return heads
 
 
-def _sufficient(lists: int):
-    def sufficient(key: tuple, query: pd.DataFrame, item: pd.DataFrame) -> pd.DataFrame:
-        out = {"q": [], "vec_id": [], "low": [], "high": []}
+def _resolved(need: int, lists: int):
+    def resolved(key: tuple, query: pd.DataFrame, item: pd.DataFrame) -> pd.DataFrame:
+        out = {"q": [], "vec_id": [], "score": []}
         if len(query) and len(item):
             width = int(key[0])
+            item = item.sort_values("vec_id", kind="stable")
             v, ids = _matrix(item["code"].tolist(), width), item["vec_id"].to_numpy(np.int64)
             parts = _parts(width, lists)
             for at in range(0, len(query), STRIP):
                 part = query.iloc[at : at + STRIP]
                 q, names = _matrix(part["code"].tolist(), width), part["q"].to_numpy(np.int64)
                 floor = part["floor"].to_numpy(np.int64)[:, None]
-                low, missing, seen = 0, 0, False
+                least = [dict(m) for m in part["least"]]
+                score, held = np.zeros((len(q), len(v)), np.int64), np.zeros((len(q), len(v)), bool)
                 for n, dims in enumerate(parts):
-                    least = np.array([dict(m)[n] for m in part["least"]], np.int64)[:, None]
-                    s = _products(q[:, dims], v[:, dims]) - least
-                    held = s * len(parts) >= floor
-                    low, missing, seen = low + np.where(held, s, 0), missing + ~held, seen | held
-                high = low + missing * (floor / len(parts))
-                i, j = np.nonzero(seen & (high >= floor))
-                out["q"].append(names[i])
-                out["vec_id"].append(ids[j])
-                out["low"].append(low[i, j])
-                out["high"].append(high[i, j])
-        return pd.DataFrame({c: np.concatenate(x) if x else [] for c, x in out.items()})
-
-    return sufficient
-
-
-def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        scores = np.zeros(batch.num_rows, np.int64)
-        widths = batch.column(2).to_numpy()
-        for width in np.unique(widths):
-            at = np.flatnonzero(widths == width)
-            q, v = (_matrix(batch.column(c).take(pa.array(at)).to_pylist(), int(width)) for c in (3, 4))
-            scores[at] = np.einsum("ij,ij->i", q, v)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores)], names=["q", "vec_id", "score"])
+                    s = _products(q[:, dims], v[:, dims])
+                    score += s
+                    held |= (s - np.array([m[n] for m in least], np.int64)[:, None]) * len(parts) >= floor
+                for i, name in enumerate(names):
+                    some = np.flatnonzero(held[i])
+                    found = score[i, some]
+                    if len(some) > need:
+                        near = found >= np.partition(found, len(found) - need)[-need]
+                        some, found = some[near], found[near]
+                    first = np.argsort(-found, kind="stable")[:need]  # rows are in the order of ids, so ties are too
+                    out["q"].append(np.full(len(first), name))
+                    out["vec_id"].append(ids[some[first]])
+                    out["score"].append(found[first])
+        return pd.DataFrame({c: np.concatenate(x) if x else np.empty(0, np.int64) for c, x in out.items()})
+
+    return resolved
