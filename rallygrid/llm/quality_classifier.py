@@ -17,6 +17,7 @@ from .text_stats import AT, NAMES, count_rows
 
 FEATURES, RIDGE, SEED = 256, 1e-3, 7
 TRAINING_ROWS = 40_000
+TEXTS = 1_000  # mapped at a time, which bounds the feature matrices
 
 
 def statistics(counts: np.ndarray) -> np.ndarray:
@@ -54,7 +55,8 @@ class QualityModel:
         return calibrated(self.map(statistics(counts)) @ self.weights, self.knots, self.rates)
 
     def score_texts(self, texts: list[str | None]) -> np.ndarray:
-        return self.score(count_rows(texts)) if texts else np.empty(0)
+        parts = [self.score(count_rows(texts[at : at + TEXTS])) for at in range(0, len(texts), TEXTS)]
+        return np.concatenate(parts) if parts else np.empty(0)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: tuple[int, int] = (3, 1), rows: int = TRAINING_ROWS) -> QualityModel:
@@ -79,9 +81,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fold
         size = len(model.weights)
         left, right = np.zeros((size, size)), np.zeros(size)
         for batch in batches:
-            z = model.map(batch[_COLUMNS].to_numpy())
-            left += z.T @ z
-            right += z.T @ batch["y"].to_numpy(float)
+            for at in range(0, len(batch), TEXTS):
+                part = batch.iloc[at : at + TEXTS]
+                z = model.map(part[_COLUMNS].to_numpy())
+                left += z.T @ z
+                right += z.T @ part["y"].to_numpy(float)
         yield pd.DataFrame({"left": [left.reshape(-1)], "right": [right]})
 
     fitting = sample.where("half = 0")
