@@ -15,15 +15,17 @@ def torso_colour(pixels: DataFrame) -> DataFrame:
 
     ``pixels(.., det_ord, x, y, b, g, r, x1, y1, x2, y2)`` has a row per pixel of a
     box; the torso is 15 to 40 % of its height, within 20 % of its width around the
-    centre.  A box without such pixels is black.
+    centre.  A box without such pixels is black.  Only torso pixels and one row a box
+    reach the medians, which Spark sorts for.
     """
+    box = ["clip_id", "frame_idx", "det_ord"]
     w, h, cx = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), ((F.col("x1") + F.col("x2")) / 2).cast("int")
     half = (w * F.lit(0.2)).cast("int")
     top, bottom = F.col("y1") + (h * F.lit(0.15)).cast("int"), F.col("y1") + (h * F.lit(0.4)).cast("int")
     inside = (F.col("y") >= top) & (F.col("y") < bottom) & (F.col("x") >= cx - half) & (F.col("x") < cx + half)
-    return pixels.groupBy("clip_id", "frame_idx", "det_ord").agg(
-        *(F.coalesce(F.median(F.when(inside, F.col(c))), F.lit(0.0)).alias(c) for c in "bgr")
-    )
+    boxes = pixels.select(*box).distinct().select(*box, *(F.lit(None).cast("double").alias(c) for c in "bgr"))
+    torso = pixels.where(inside).select(*box, *"bgr").unionByName(boxes)
+    return torso.groupBy(*box).agg(*(F.coalesce(F.median(c), F.lit(0.0)).alias(c) for c in "bgr"))
 
 
 def two_colours(colours: DataFrame, rounds: int = 50) -> DataFrame:

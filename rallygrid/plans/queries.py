@@ -100,7 +100,7 @@ def _coloured(b: Base) -> DataFrame:
 
 
 def _torso(b: Base) -> DataFrame:
-    grid = b.det.where(F.col("k") < 3).withColumn("p", F.explode(F.expr("sequence(0L, 199L)")))
+    grid = b.det.withColumn("p", F.explode(F.expr("sequence(0L, 199L)")))
     x, y = F.col("p") % 10, F.expr("p DIV 10")
     return teams.torso_colour(
         grid.select("clip_id", "frame_idx", "det_ord", x.alias("x"), y.alias("y"), *(((F.col("p") * (n + 3) + F.col("det_ord")) % 251).cast("double").alias(c) for n, c in enumerate("bgr")),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rallygrid.config import COURT
 from rallygrid.operators import actions, homography, stats, teams, tracking, tracks
+from rallygrid.plans import queries
 from rallygrid.sources import correspondences, detections
 
 POSITIONS = "clip_id long, tracker_id long, frame_idx long, det_ord long, x_m double, y_m double, interpole boolean"
@@ -245,6 +246,33 @@ def test_teams(spark):
     assert {(r.tracker_id, r.team) for r in teams.track_teams(labelled).collect()} == {(t, 1 - t % 2) for t in range(6)}
 
 
+def test_torso_colour(spark):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for box, (x1, y1, x2, y2) in enumerate([(0, 0, 10, 20), (5, 7, 26, 40), (3, 3, 4, 9), (2, 2, 2, 2)]):  # the last two have no torso
+        inside = []
+        for x in range(x1, max(x2, x1 + 1)):
+            for y in range(y1, max(y2, y1 + 1)):
+                bgr = [float(rng.randrange(256)) for _ in "bgr"]
+                rows.append((1, 0, box, x, y, *bgr, x1, y1, x2, y2))
+                w, h, cx = x2 - x1, y2 - y1, int((x1 + x2) / 2)
+                if y1 + int(h * 0.15) <= y < y1 + int(h * 0.4) and cx - int(w * 0.2) <= x < cx + int(w * 0.2):
+                    inside.append(bgr)
+        want[box] = tuple(np.median(inside, axis=0)) if inside else (0.0, 0.0, 0.0)
+    pixels = spark.createDataFrame(rows, "clip_id long, frame_idx long, det_ord long, x long, y long, b double, g double, r double, x1 int, y1 int, x2 int, y2 int")
+    assert {r.det_ord: (r.b, r.g, r.r) for r in teams.torso_colour(pixels).collect()} == want
+    assert want[0] != (0, 0, 0) and want[3] == (0, 0, 0)
+
+
+def test_torso_query_gives_every_box(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    torso = [p for p in range(200) if 3 <= p // 10 < 8 and 3 <= p % 10 < 7]
+    det = detections.detections_from_events(spark, sf_dir).collect()
+    want = {(r.clip_id, r.frame_idx, r.det_ord, *(float(np.median([(p * n + r.det_ord) % 251 for p in torso])) for n in (3, 4, 5))) for r in det}
+    got = queries.queries()["torso_median"](spark, sf_dir).select("clip_id", "frame_idx", "det_ord", "b", "g", "r").collect()
+    assert len(got) == len(det) and {tuple(r) for r in got} == want
+
+
 def test_scans(spark):
     frames = spark.range(40).select(F.lit(1).cast("long").alias("clip_id"), F.col("id").alias("frame_idx"))
     assert one(detections.batches(detections.sample_frames(frames, 2))).n_batches == 3
