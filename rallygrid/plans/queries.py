@@ -41,7 +41,7 @@ class Base:
 
     @property
     def counts(self) -> DataFrame:
-        return actions.players_per_frame(detections.frames_of(self.det), self.det.where(F.col("frame_idx") % 16 != 0), self.classes)
+        return actions.players_per_frame(detections.frames_of(self.det), self.det, self.classes)
 
     @property
     def boxes(self) -> DataFrame:

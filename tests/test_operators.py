@@ -184,6 +184,44 @@ def test_actions_match_a_state_machine(spark):
         assert found(spark, profile, min_s=1.0, pause_s=1.0) == [(a, b) for a, b in want if (b - a) / 25 >= 1.0]
 
 
+def test_frames_without_detections_have_no_players(spark):
+    frames = spark.createDataFrame([(1, f) for f in (0, 2, 4, 6)], "clip_id long, frame_idx long")
+    det = spark.createDataFrame([(1, 0, 7), (1, 0, 8), (1, 4, 7), (1, 6, 9)], "clip_id long, frame_idx long, tracker_id long")
+    classes = spark.createDataFrame([(1, 7, 0), (1, 8, 0), (1, 9, 2)], "clip_id long, tracker_id long, class_id int")
+    assert {tuple(r) for r in actions.players_per_frame(frames, det, classes).collect()} == {(1, 0, 2), (1, 2, 0), (1, 4, 1), (1, 6, 0)}
+    assert {r.nb for r in actions.players_per_frame(frames, det.limit(0), classes).collect()} == {0}
+
+
+def test_count_queries_count_every_detection(spark):
+    sf_dir, (start, end, least, pause) = "/root/testdata/sf0.01", queries.ACTIONS
+    det = detections.detections_from_events(spark, sf_dir)
+    players = {(r.clip_id, r.tracker_id) for r in tracks.majority(det, "class_id").collect() if r.class_id == 0}
+    counts = {}
+    for r in det.collect():
+        counts.setdefault(r.clip_id, {}).setdefault(r.frame_idx, 0)
+        counts[r.clip_id][r.frame_idx] += (r.clip_id, r.tracker_id) in players
+    get = lambda name, *cols: sorted(tuple(r[c] for c in cols) for r in queries.queries()[name](spark, sf_dir).collect())
+    assert get("players_per_frame", "clip_id", "frame_idx", "nb") == sorted((c, f, n) for c, at in counts.items() for f, n in at.items())
+    want = []
+    for c, at in counts.items():
+        spans, opened, last = [], None, None
+        for f, n in sorted(at.items()):
+            if opened is None:
+                opened, last = (f, f) if n >= start else (None, None)
+            elif n >= end:
+                last = f
+            elif (f - last) / queries.FPS > pause:
+                spans.append((opened, last))
+                opened = None
+        spans += [(opened, last)] if opened is not None else []
+        kept = [(a, b) for a, b in spans if (b - a) / queries.FPS >= least]
+        means = [np.mean([n for f, n in at.items() if a <= f <= b]) for a, b in kept]
+        want += [(c, k, a, b, pytest.approx(m, abs=1e-6)) for k, ((a, b), m) in enumerate(zip(kept, means, strict=True))]
+    assert get("actions", "clip_id", "action_idx", "frame_debut", "frame_fin", "nb_joueurs_moyen") == sorted(want, key=lambda r: r[:4])
+    assert [r[:2] for r in get("clip_manifest", "clip_id", "action_idx", "debut_s")] == sorted(r[:2] for r in want)
+    assert [r[2] for r in get("clip_manifest", "clip_id", "action_idx", "debut_s")] == [pytest.approx(r[2] / queries.FPS, abs=1e-6) for r in sorted(want, key=lambda r: r[:4])]
+
+
 def test_homography():
     corners = {"A": ((100, 600), (0, 0)), "B": ((1000, 600), (40, 0)), "C": ((1000, 100), (40, 20)), "D": ((100, 100), (0, 20))}
     pairs = {k: {"pixel": p, "terrain_m": m} for k, (p, m) in corners.items()}
