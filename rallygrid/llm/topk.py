@@ -61,51 +61,60 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, lists: int = LISTS, c
 
     ``vectors(vec_id, width, code)`` is what ``quantise`` returns.  Queries are the
     rows whose id is divisible by ``every``; candidates are all rows of the same
-    width but the query's own.  Returns ``(query_id, rank, vec_id, score)``.  Equal
-    rows count once.  With fewer candidates than ``k``, all are returned.
+    width but those of the query's own id.  Returns ``(query_id, rank, vec_id, score)``.
+    Equal rows count once; an id with several vectors is a candidate with each and is
+    asked with each.  With fewer candidates than ``k``, all are returned.
 
     Of equal vectors only the ``k + 1`` smallest ids can be among the best, so no
-    others go on, and equal queries are searched once.  Components are dealt to
-    ``lists`` score lists, and partial scores are counted from each list's least:
+    others go on, and equal queries are searched once.  They leave out different
+    ids, so each search gives the ``2 k`` best of what has at most ``k`` rows an id:
+    without any one id, ``k`` of them are left.  Components are dealt to ``lists``
+    score lists, and partial scores are counted from each list's least:
 
     1. every block of candidates gives the head of each list of each query; the
-       ``k + 1`` best partial sums put a floor under the result, and a ``lists``-th
+       ``2 k`` best partial sums put a floor under the result, and a ``lists``-th
        of it is the uniform threshold;
     2. the floor goes to every block, which gathers the candidates that some list
        holds at the threshold or above; all others score below the floor;
     3. their scores are resolved in full where the vectors are, and each block gives
-       its ``k + 1`` best, so rows out of a block don't grow with its candidates.
+       its ``2 k`` best, so rows out of a block don't grow with its candidates.
     """
-    need = k + 1
+    need = 2 * k
     vectors = written(vectors, "codes")
     nth = F.dense_rank().over(Window.partitionBy("width", "code").orderBy("vec_id"))
-    items = written(vectors.withColumn("n", nth).where(F.col("n") <= need).drop("n").dropDuplicates(["vec_id", "code"]), "items")
+    items = written(vectors.withColumn("n", nth).where(F.col("n") <= k + 1).drop("n").dropDuplicates(["vec_id", "code"]).withColumn("copy", F.xxhash64("code")), "items")
     asked = vectors.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "code"])
     query = written(asked.groupBy("width", "code").agg(F.min("vec_id").alias("first")).select(F.xxhash64("first", "code").alias("q"), "width", "code"), "queries")
     blocks = max(1, -(-items.count() // candidates)), max(1, -(-query.count() // queries))
 
-    first = _phase(items, query, blocks, _heads(need, lists), "q long, list int, vec_id array<long>, part array<long>, least long")
+    first = _phase(items, query, blocks, _heads(need, lists), "q long, list int, vec_id array<long>, copy array<long>, part array<long>, least long")
     first = written(first, "heads")
     least = first.groupBy("q", "list").agg(F.min("least").alias("least"))
-    entries = first.select("q", "list", F.explode(F.arrays_zip("vec_id", "part")).alias("e")).select("q", "list", "e.vec_id", "e.part")
+    entries = first.select("q", "list", F.explode(F.arrays_zip("vec_id", "copy", "part")).alias("e")).select("q", "list", "e.vec_id", "e.copy", "e.part")
     head = entries.withColumn("n", F.row_number().over(Window.partitionBy("q", "list").orderBy(F.desc("part"), "vec_id"))).where(F.col("n") <= need)
-    sums = head.join(least, ["q", "list"]).groupBy("q", "vec_id").agg(F.sum(F.col("part") - F.col("least")).alias("low"))
+    sums = head.join(least, ["q", "list"]).groupBy("q", "vec_id", "copy").agg(F.sum(F.col("part") - F.col("least")).alias("low"))
     bounds = least.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("list", "least"))).alias("least"))
-    bounds = written(bounds.join(_floor(sums, need), "q", "left").select("q", "least", F.coalesce("floor", F.lit(0)).alias("floor")), "bounds")
+    bounds = written(bounds.join(_floor(sums, k), "q", "left").select("q", "least", F.coalesce("floor", F.lit(0)).alias("floor")), "bounds")
 
-    third = written(_phase(items, query.join(bounds, "q"), blocks, _resolved(need, lists), "q long, vec_id long, score long"), "resolved")
-    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
-    best = written(third.withColumn("n", nth).where(F.col("n") <= need).drop("n"), "best")
+    third = written(_phase(items, query.join(bounds, "q"), blocks, _resolved(k, lists), "q long, vec_id long, score long"), "resolved")
+    best = written(_best(third, "score", k), "best")
 
     answers = asked.join(query, ["width", "code"]).select(F.col("vec_id").alias("query_id"), "q").join(best, "q").where("query_id <> vec_id")
     nth = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id"))
     return answers.withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _floor(df: DataFrame, need: int) -> DataFrame:
-    """The ``need``-th greatest ``low`` of each query that has so many."""
-    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("low")))
-    return df.withColumn("n", nth).where(F.col("n") == need).select("q", F.col("low").alias("floor"))
+def _best(df: DataFrame, by: str, k: int) -> DataFrame:
+    """The ``2 k`` best rows of each query, of which at most ``k`` have the same id."""
+    of_id = F.row_number().over(Window.partitionBy("q", "vec_id").orderBy(F.desc(by)))
+    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(by), "vec_id"))
+    return df.withColumn("n", of_id).where(F.col("n") <= k).withColumn("n", nth).where(F.col("n") <= 2 * k).drop("n")
+
+
+def _floor(df: DataFrame, k: int) -> DataFrame:
+    """The least ``low`` of the ``2 k`` best of each query that has so many."""
+    found = _best(df, "low", k).groupBy("q").agg(F.count("*").alias("n"), F.min("low").alias("floor"))
+    return found.where(F.col("n") == 2 * k).select("q", "floor")
 
 
 def _phase(items: DataFrame, query: DataFrame, blocks: tuple[int, int], score, schema: str) -> DataFrame:
@@ -115,7 +124,7 @@ def _phase(items: DataFrame, query: DataFrame, blocks: tuple[int, int], score, s
     dealt to different tasks.
     """
     many, few = blocks
-    item = items.select("vec_id", "code", "width", F.pmod(F.xxhash64("vec_id", "code"), F.lit(many)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(few - 1))).alias("b"))
+    item = items.select("vec_id", "copy", "code", "width", F.pmod(F.xxhash64("vec_id", "code"), F.lit(many)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(few - 1))).alias("b"))
     more = [c for c in ("least", "floor") if c in query.columns]
     asked = query.select("q", "code", "width", F.pmod("q", F.lit(few)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("c"), *more)
     return asked.groupBy("width", "b", "c").cogroup(item.groupBy("width", "b", "c")).applyInPandas(score, schema)
@@ -126,7 +135,7 @@ def _heads(need: int, lists: int):
         rows = []
         if len(query) and len(item):
             width = int(key[0])
-            v, ids = _matrix(item["code"].tolist(), width), item["vec_id"].to_numpy(np.int64)
+            v, ids, copies = _matrix(item["code"].tolist(), width), item["vec_id"].to_numpy(np.int64), item["copy"].to_numpy(np.int64)
             for at in range(0, len(query), STRIP):
                 part = query.iloc[at : at + STRIP]
                 q, names = _matrix(part["code"].tolist(), width), part["q"].tolist()
@@ -135,19 +144,22 @@ def _heads(need: int, lists: int):
                     take = min(need, s.shape[1])
                     best = np.argpartition(-s, take - 1, axis=1)[:, :take]
                     least = s.min(axis=1)
-                    rows += [(name, n, ids[best[i]], s[i, best[i]], int(least[i])) for i, name in enumerate(names)]
-        return pd.DataFrame(rows, columns=["q", "list", "vec_id", "part", "least"])
+                    rows += [(name, n, ids[best[i]], copies[best[i]], s[i, best[i]], int(least[i])) for i, name in enumerate(names)]
+        return pd.DataFrame(rows, columns=["q", "list", "vec_id", "copy", "part", "least"])
 
     return heads
 
 
-def _resolved(need: int, lists: int):
+def _resolved(k: int, lists: int):
+    need = 2 * k
+
     def resolved(key: tuple, query: pd.DataFrame, item: pd.DataFrame) -> pd.DataFrame:
         out = {"q": [], "vec_id": [], "score": []}
         if len(query) and len(item):
             width = int(key[0])
             item = item.sort_values("vec_id", kind="stable")
             v, ids = _matrix(item["code"].tolist(), width), item["vec_id"].to_numpy(np.int64)
+            repeated = bool((ids[1:] == ids[:-1]).any())
             parts = _parts(width, lists)
             for at in range(0, len(query), STRIP):
                 part = query.iloc[at : at + STRIP]
@@ -162,6 +174,13 @@ def _resolved(need: int, lists: int):
                 for i, name in enumerate(names):
                     some = np.flatnonzero(held[i])
                     found = score[i, some]
+                    if repeated:  # at most k rows an id
+                        order = np.lexsort((-found, ids[some]))
+                        at_id = ids[some[order]]
+                        first_of = np.r_[0, np.flatnonzero(at_id[1:] != at_id[:-1]) + 1]
+                        rank = np.arange(len(order)) - np.repeat(first_of, np.diff(np.r_[first_of, len(order)])) if len(order) else order
+                        order = np.sort(order[rank < k])  # again in the order of rows
+                        some, found = some[order], found[order]
                     if len(some) > need:
                         near = found >= np.partition(found, len(found) - need)[-need]
                         some, found = some[near], found[near]

@@ -362,6 +362,20 @@ def test_top_k(spark, sf_dir):
             assert len(got) == len(brute_top(given))
 
 
+def test_top_k_of_ids_with_several_vectors(spark):
+    rng = np.random.default_rng(12)
+    vector = lambda scale: [float(x) for x in (scale * rng.normal(size=6)).round(2)]
+    given = [(i, vector(1)) for i in range(1, 200)]
+    given += [(i, vector(3)) for i in (7, 50, 100) for _ in range(20)]  # own rows of 50 and 100 fill the best places
+    given += [(8, [9.0 * (n == m) for n in range(6)]) for m in range(6)]  # parts of different vectors of one id
+    given += [(150, [float(n == 0) * 5 for n in range(6)]), (250, [5.0, 0.0, 0.0, 0.0, 0.0, 0.0])]  # equal queries of different ids
+    given += [(150, [5.0, 0.0, 0.0, 0.0, 0.0, float(m)]) for m in range(1, 9)]
+    vectors = topk.quantise(spark.createDataFrame(given, "vec_id long, embedding array<double>"))
+    for blocks in ({}, {"candidates": 64, "queries": 3, "lists": 3}):
+        got = Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(vectors, **blocks).collect())
+        assert set(got) == brute_top(given)
+
+
 def test_top_k_on_embeddings(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()
     got = __spark_entry__.queries()["op8_top_k"](spark, sf_dir).collect()
