@@ -15,14 +15,21 @@ from rallygrid.llm.toxicity import fit_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.3."""
+    """Documents whose toxicity score is below 0.3; all, where no model could be fitted."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     return score_documents(docs, model, "_score").where("_score < 0.3").drop("_score")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is 0.5 or more."""
+    """Documents whose quality score is 0.5 or more.
+
+    All stay where no quality model could be fitted: without labelled rows outside
+    the held-out fold, with none in the calibrating half, or with no good one in the
+    fitting half.
+    """
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    if not model.fitted:
+        return docs
     return score_documents(docs, model, "_score").where("_score >= 0.5").drop("_score")
 
 

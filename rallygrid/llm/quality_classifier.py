@@ -46,6 +46,11 @@ class QualityModel:
         self.phases = rng.uniform(0, 2 * np.pi, features)
         self.weights, self.knots, self.rates = np.zeros(features + 1), np.empty(0), np.empty(0)
 
+    @property
+    def fitted(self) -> bool:
+        """Whether labelled rows gave both weights and a calibration."""
+        return bool(len(self.knots) and self.weights.any())
+
     def map(self, stats: np.ndarray) -> np.ndarray:
         z = np.clip((stats - self.mean) / self.scale, -6, 6)
         cosines = np.sqrt(2 / len(self.phases)) * np.cos(z @ self.frequencies + self.phases)
