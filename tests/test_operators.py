@@ -262,6 +262,30 @@ def test_tracker():
     assert len(set(tracking.track_clip(gap, tracking.TrackerConfig(), 25)) - {0}) == 1
 
 
+def test_appearance_cost_tells_crossing_boxes_apart():
+    looks = np.eye(2).tolist()
+    at = lambda f: [(10 + 4 * f, 10, 50 + 4 * f, 90), (50 - 4 * f, 10, 90 - 4 * f, 90)]
+    rows = clip([(f, at(min(f, 5) if f < 6 else 10 - f)) for f in range(11)])  # they meet in frame 5 and turn back
+    rows["embedding"] = [looks[k] for k in rows["det_ord"]]
+    config = tracking.BACKENDS["botsort"]
+    told = tracking.track_clip(rows, config, 25)
+    assert [set(told[rows["det_ord"] == k]) - {0} for k in (0, 1)] in ([{1}, {2}], [{2}, {1}])
+    # the same overlap with two boxes: only the looks say which is which
+    pair = clip([(f, [(10, 10, 50, 90), (20, 10, 60, 90)]) for f in range(3)] + [(3, [(15, 10, 55, 90), (15, 10, 55, 90)])])
+    for swapped in (False, True):
+        pair["embedding"] = [looks[k ^ (swapped and f == 3)] for f, k in zip(pair["frame_idx"], pair["det_ord"], strict=True)]
+        ids = tracking.track_clip(pair, config, 25)
+        assert (ids[-2] == ids[-4]) == (not swapped) and (ids[-1] == ids[-3]) == (not swapped)
+
+
+def test_botsort_query_uses_looks(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    boxes = queries.Base(spark, sf_dir).boxes
+    got = {tuple(r) for r in queries.queries()["botsort"](spark, sf_dir).collect()}
+    blind = {tuple(r) for r in tracking.track_with(boxes, "botsort", queries.FPS).collect()}
+    assert got and got != blind
+
+
 def test_assignment_is_least_cost():
     from itertools import permutations
 
