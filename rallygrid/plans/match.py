@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import COURT, Court
 from ..operators import actions, render, stats, tracks
+from ..operators.homography import Homography
 
 
 @dataclass(frozen=True)
@@ -24,13 +25,17 @@ class MatchAnalysis:
 
 
 def analyse(
-    det: DataFrame, frames: DataFrame, teams: DataFrame, fps: float, subsample: int = 1, min_frames: int = 0, home: int = 0, court: Court = COURT
-) -> MatchAnalysis:
+    det: DataFrame, frames: DataFrame, teams: DataFrame, fps: float, subsample: int = 1, min_frames: int = 0, home: int = 0, court: Court = COURT,
+    tracker: str | None = None, homography: Homography | None = None, clips: DataFrame | None = None,
+) -> MatchAnalysis:
     """Votes, positions, quality, statistics, gaps and actions of all clips.
 
     Quality is judged before short tracks go, statistics after; gaps are filled for
-    rendering only; actions count all tracked players of the picture.
+    rendering only; actions count all tracked players of the picture.  Only the
+    metadata take ``tracker``, ``homography`` and ``clips(clip_id, nb_frames)``, the
+    source's frame counts; what isn't given is null there.
     """
+    max_gap = max(2, subsample * 5)
     classes = tracks.majority(det, "class_id")
     positions = tracks.player_positions(det, classes, court=court)
     quality = tracks.tracking_quality(positions)
@@ -43,10 +48,21 @@ def analyse(
         .join(player.groupBy("clip_id").agg(F.count("*").alias("nb_joueurs_stats")), "clip_id", "left")
         .join(found.groupBy("clip_id").agg(F.count("*").alias("nb_actions_detectees")), "clip_id", "left")
         .join(classes.groupBy("clip_id").agg(F.count("*").alias("nb_trackers_total"), F.count_if(F.col("class_id") == 0).alias("nb_joueurs_classes")), "clip_id", "right")
+        .join(frames.select("clip_id", "frame_idx").distinct().groupBy("clip_id").agg(F.count("*").alias("nb_frames_analysees")), "clip_id", "left")
         .na.fill(0)
     )
+    if clips is None:
+        meta = meta.withColumn("nb_frames_total", F.lit(None).cast("long"))
+    else:
+        meta = meta.join(clips.select("clip_id", F.col("nb_frames").cast("long").alias("nb_frames_total")), "clip_id", "left")
+    given = {
+        "fps": (float(fps), "double"), "subsample": (subsample, "int"), "max_gap_interpolation": (max_gap, "int"),
+        "homographie_methode": (homography and homography.method, "string"), "homographie_nb_points": (homography and homography.n_points, "int"),
+        "cluster_mhb": (home, "int"), "tracker": (tracker, "string"), "min_frames_track": (min_frames, "int"),
+    }
+    meta = meta.withColumns({name: F.lit(value).cast(kind) for name, (value, kind) in given.items()})
     colours = render.tracker_colours(classes.select(*tracks.TRACK), classes, teams, home)
-    return MatchAnalysis(positions, quality, player, width[0].unionByName(width[1]), tracks.interpolate(kept, max(2, subsample * 5)), found, meta, colours)
+    return MatchAnalysis(positions, quality, player, width[0].unionByName(width[1]), tracks.interpolate(kept, max_gap), found, meta, colours)
 
 
 def write(analysis: MatchAnalysis, folder: str) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rallygrid.config import COURT
 from rallygrid.operators import actions, homography, stats, teams, tracking, tracks
-from rallygrid.plans import queries
+from rallygrid.plans import match, queries
 from rallygrid.sources import correspondences, detections
 
 POSITIONS = "clip_id long, tracker_id long, frame_idx long, det_ord long, x_m double, y_m double, interpole boolean"
@@ -335,6 +335,24 @@ def test_torso_query_gives_every_box(spark):
     assert len(got) == len(det) and {tuple(r) for r in got} == want
 
 
+def test_metadata(spark):
+    rows = [(1, f, 10 * f + t, t, t // 3, 2.0 * t + 0.1 * f, 10.0) for f in range(20) for t in (1, 2, 3)]
+    det = spark.createDataFrame(rows, "clip_id long, frame_idx long, det_ord long, tracker_id long, class_id int, x_m double, y_m double")
+    frames = spark.createDataFrame([(1, f) for f in range(25)], "clip_id long, frame_idx long")
+    team = spark.createDataFrame([(1, t, t % 2) for t in (1, 2)], "clip_id long, tracker_id long, team int")
+    clips = spark.createDataFrame([(1, 50)], "clip_id long, nb_frames int")
+    want = {
+        "fps": 5.0, "subsample": 2, "max_gap_interpolation": 10, "cluster_mhb": 1, "min_frames_track": 3, "tracker": "botsort", "homographie_methode": "ransac",
+        "homographie_nb_points": 6, "nb_frames_total": 50, "nb_frames_analysees": 25, "nb_trackers_total": 3, "nb_joueurs_classes": 2,
+        "nb_joueurs_avant_filtre": 2, "nb_joueurs_stats": 2, "nb_reprises": 0, "nb_joueurs": 2, "longueur_moyenne": 20.0, "nb_actions_detectees": 0,
+    }
+    seen = match.analyse(det, frames, team, 5, 2, 3, 1, tracker="botsort", homography=homography.Homography([0.0] * 9, 6, "ransac"), clips=clips)
+    got = one(seen.metadata).asDict()
+    assert {k: got.get(k) for k in want} == want
+    blank = one(match.analyse(det, frames, team, 5).metadata)
+    assert (blank.tracker, blank.homographie_methode, blank.homographie_nb_points, blank.nb_frames_total) == (None,) * 4 and blank.fps == 5
+
+
 def test_scans(spark):
     frames = spark.range(40).select(F.lit(1).cast("long").alias("clip_id"), F.col("id").alias("frame_idx"))
     assert one(detections.batches(detections.sample_frames(frames, 2))).n_batches == 3
