@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
 from .prefix_bpe import Vocabulary
 
 
@@ -45,4 +46,4 @@ def encode_documents(
                 columns, names = [*columns, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(encode, schema)
+    return mapped(docs, encode, schema)

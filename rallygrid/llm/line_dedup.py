@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import new_folder, written
+from .common import mapped, new_folder, written
 
 STRIPPED = b"\x20\x09\x0a\x0b\x0c\x0d"
 KEY = ["h1", "h2"]
@@ -94,7 +94,7 @@ def dedup_lines(
     spark = docs.sparkSession
     carried = [F.col(c).alias(f"_carry{k}") for k, c in enumerate(carry)]
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carried)
-    keys = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_keyer(min_chars), "doc_id long, h1 long, h2 long")
+    keys = mapped(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), _keyer(min_chars), "doc_id long, h1 long, h2 long")
     path, schema = new_folder(spark, "line-keys"), "doc_id long, h1 long, h2 long, batch int"
     edges = docs.where("doc_id IS NOT NULL").approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)
     number = reduce(lambda c, e: c + (F.col("doc_id") < F.lit(int(e))).cast("int"), edges, F.lit(0))  # 0: the largest ids
@@ -114,7 +114,7 @@ def dedup_lines(
     )
     more = [StructField(c.name, c.dataType) for c in joined.schema.fields[4:]]
     schema = StructType([*_DONE.fields, *more])
-    done = joined.mapInArrow(_dropper(min_chars), schema)
+    done = mapped(joined, _dropper(min_chars), schema)
     return done.toDF(*(f.name for f in _DONE.fields), *carry)
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mapped, written
 from .components import connected_components
 from .superminhash import band_keys, shingle_sets, signatures
 
@@ -51,7 +51,7 @@ def near_duplicates(
     ``component_id`` is null and it is kept.  Further columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = written(docs.mapInArrow(_signer(width, bands, rows), "doc_id long, n_shingles long, digest binary, keys array<long>"), "signed")
+    signed = written(mapped(docs, _signer(width, bands, rows), "doc_id long, n_shingles long, digest binary, keys array<long>"), "signed")
     usable = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     reps = usable.join(classes.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"], "left_semi")
@@ -127,7 +127,7 @@ def _across(tried: DataFrame, labels: DataFrame, texts: DataFrame, width: int, p
     indexed = rows.where("label <> main").select("cluster", own.alias("block"), F.lit(0).alias("role"), "id", "label", "text")
     passing = rows.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id", "label", "text")
     dealt = indexed.unionByName(passing).repartition("cluster", "block").sortWithinPartitions("cluster", "block", "role", "id")
-    return dealt.mapInArrow(_block_links(width, percent), "a long, b long")
+    return mapped(dealt, _block_links(width, percent), "a long, b long")
 
 
 def _block_links(width: int, percent: int):
@@ -203,7 +203,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
         texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"
     )
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    return mapped(both.select("a", "b", "text_a", "text_b"), check, "a long, b long")
 
 
 def _enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mapped, written
 from .tokens import WordEncoder
 
 CAPACITY = 2048
@@ -88,7 +88,7 @@ def pack_documents(
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     pieces = written(
-        docs.mapInArrow(_cutter(tokenizer, capacity, end_id, with_ids), schema).withColumn("row", F.monotonically_increasing_id()),
+        mapped(docs, _cutter(tokenizer, capacity, end_id, with_ids), schema).withColumn("row", F.monotonically_increasing_id()),
         "pieces",
     )
     part = pieces.where(F.col("length") < capacity)

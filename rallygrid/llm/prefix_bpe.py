@@ -20,7 +20,7 @@ import regex
 from .tokens import LONGEST, REMEMBERED, WORDS, WordMemo
 
 NONE = 1 << 62
-PAIRS = 1_000_000
+PAIRS = 250_000
 
 
 class Vocabulary:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import written
+from .common import mapped, written
 from .labelled import calibrated, isotonic, training_ids
 from .text_stats import AT, NAMES, count_rows
 
@@ -72,7 +72,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fold
     """
     ids = F.broadcast(training_ids(labels, label, fold, rows))  # bounded by rows
     counted = docs.select("doc_id", "text").join(ids, "doc_id").select("text", "y", "half")
-    sample = written(counted.mapInArrow(_count_labelled, _stat_schema("y int, half int")), "quality-sample").coalesce(8)
+    sample = written(mapped(counted, _count_labelled, _stat_schema("y int, half int")), "quality-sample").coalesce(8)
     sums = [F.sum(f"s{k}").alias(f"a{k}") for k in range(_WIDTH)] + [F.sum(F.col(f"s{k}") * F.col(f"s{k}")).alias(f"b{k}") for k in range(_WIDTH)]
     row = sample.agg(F.count("*").alias("n"), *sums).first()
     n = row["n"]
@@ -120,7 +120,7 @@ def score_documents(docs: DataFrame, model, column: str = "score") -> DataFrame:
             scores = model.score_texts(batch.column(at).cast(pa.string()).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, column])
 
-    return docs.mapInArrow(score, schema)
+    return mapped(docs, score, schema)
 
 
 _WIDTH = statistics(np.zeros((1, len(NAMES)))).shape[1]

@@ -53,11 +53,14 @@ BYTE_VALUE, IS_SPACE = _byte_table()
 
 
 def _power(which: str, base: int, n: int) -> np.ndarray:
-    if which not in _powers or len(_powers[which]) < n:
-        out = np.full(max(n, SLICE + 1), base, np.uint64)
-        out[0] = 1
-        _powers[which] = np.multiply.accumulate(out)
-    return _powers[which][:n]
+    if which in _powers and n <= len(_powers[which]):
+        return _powers[which][:n]
+    out = np.full(max(n, SLICE + 1), base, np.uint64)
+    out[0] = 1
+    out = np.multiply.accumulate(out)
+    if n <= SLICE + 1:  # those of one very long text are not kept
+        _powers[which] = out
+    return out[:n]
 
 
 def up_powers(n: int) -> np.ndarray:

@@ -16,7 +16,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: A space before anything but white space always begins a match of the pattern, so
 #: a text can be cut there and its parts encoded apart.
 WORDS = re.compile(r" (?=\S)")
-REMEMBERED, LONGEST = 600_000, 64
+REMEMBERED, LONGEST = 100_000, 64
 
 
 class WordMemo(dict):

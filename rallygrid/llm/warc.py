@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, written
+from .common import mapped, new_folder, written
 
 #: Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -63,7 +63,7 @@ def write_archives(
         .select("archive", "page_id", "url", "digest", "holder", F.when(F.col("holder").isNull(), F.col("payload")).alias("payload"), F.octet_length("payload").alias("size"))
     )
     sorted_ = dealt.repartitionById(int(archives), "archive").sortWithinPartitions("archive", "page_id", "digest", "url")
-    return written(sorted_.mapInArrow(_writer(folder, date), "archive string, records long"), "manifest")
+    return written(mapped(sorted_, _writer(folder, date), "archive string, records long"), "manifest")
 
 
 def read_archives(spark, folder: str) -> DataFrame:
@@ -75,7 +75,7 @@ def read_archives(spark, folder: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(folder).select("content")
     schema = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return files.mapInArrow(_read, schema)
+    return mapped(files, _read, schema)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mapped, written
 from .text_stats import AT, count_rows
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -110,7 +110,7 @@ def weak_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, " + ", ".join(f"{b} long" for b in BASE) + ", pattern long"
-    counted = written(docs.mapInArrow(_count, schema), "votes")
+    counted = written(mapped(docs, _count, schema), "votes")
     patterns = counted.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").toPandas()  # at most 2**rules rows
     v = unpattern(patterns["pattern"].to_numpy(np.int64), len(RULES))
     model = fit_label_model(v, patterns["n"].to_numpy(float), START)
@@ -124,7 +124,7 @@ def weak_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             columns = [*batch.columns[:6], pa.array(failed), pa.array(~failed & (q >= 0.5)), pa.array(q)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *BASE, "base_failed", "kept", "quality"])
 
-    return counted.mapInArrow(judge, "doc_id long, " + ", ".join(f"{b} long" for b in BASE) + ", base_failed boolean, kept boolean, quality double")
+    return mapped(counted, judge, "doc_id long, " + ", ".join(f"{b} long" for b in BASE) + ", base_failed boolean, kept boolean, quality double")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
