@@ -8,7 +8,7 @@ _KEY = r"translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '
 OP1 = rf"""
 WITH lines AS (
   SELECT doc_id, unnest(str_split(coalesce(text, ''), chr(10))) AS line,
-         unnest(range(len(str_split(coalesce(text, ''), chr(10))))) AS at
+         unnest(range(len(str_split(coalesce(text, ''), chr(10))))) AS pos
   FROM documents),
 keyed AS (SELECT *, {_KEY} AS key FROM lines),
 shared AS (
@@ -16,7 +16,7 @@ shared AS (
   GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
 marked AS (SELECT k.*, coalesce(k.doc_id < s.holder, false) AS gone FROM keyed k LEFT JOIN shared s USING (key))
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
 
