@@ -12,11 +12,12 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from oracle import against_sql
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
-from rallygrid.llm import bpe, line_dedup, near_dedup, packing, prefix_bpe, quality_classifier, sharding, topk, toxicity, warc, weak_quality
+from rallygrid.llm import bpe, line_dedup, near_dedup, oracles, packing, prefix_bpe, quality_classifier, sharding, topk, toxicity, warc, weak_quality
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -38,6 +39,13 @@ def odd(spark):
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
+@pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
+def test_query_against_sql(name, spark):
+    sf_dir = "/root/testdata/sf0.01"
+    got, want = against_sql(__spark_entry__.queries()[name](spark, sf_dir), oracles.oracle_sql()[name], sf_dir)
+    assert got == want and sum(got[1].values()) > 0
+
+
 @pytest.fixture(scope="module")
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
@@ -376,6 +384,37 @@ def test_top_k_of_ids_with_several_vectors(spark):
         assert set(got) == brute_top(given)
 
 
+def test_top_k_holds_and_resolves_few_pairs():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 64)) * 60
+    v = np.floor(centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 64)) * 15).astype(np.int64)
+    q = v[:100]
+    exact = q @ v.T
+    floor = np.sort(exact, axis=1)[:, -10]
+    i, j, scores, held = topk.Lists(q, v, topk.LISTS).resolved(floor)
+    assert {(a, b): s for a, b, s in zip(i.tolist(), j.tolist(), scores.tolist())} == {(a, b): exact[a, b] for a, b in np.argwhere(exact >= floor[:, None]).tolist()}
+    assert held < 0.05 * exact.size
+
+
+@pytest.mark.parametrize("scale", [1, 1e12, 1e18])
+@pytest.mark.parametrize("lists", [1, 2, 3, 9])
+def test_top_k_lists_at_any_size_of_numbers(scale, lists):
+    rng = np.random.default_rng(4)
+    v = (rng.normal(size=(60, 5)) * scale * rng.choice([0.01, 1], (60, 1)) * 3).astype(np.int64)
+    exact = np.clip(v[:7].astype(object) @ v.T.astype(object), -(1 << 63) + 1, (1 << 63) - 1).astype(np.int64)
+    for nth in (1, 20, 60):
+        floor = np.sort(exact, axis=1)[:, -nth]
+        i, j, scores, _ = topk.Lists(v[:7], v, lists).resolved(floor)
+        assert set(zip(i.tolist(), j.tolist(), scores.tolist())) == {(a, b, exact[a, b]) for a, b in np.argwhere(exact >= floor[:, None]).tolist()}
+
+
+def test_top_k_saturates(spark):
+    given = [(i, [float(x), 1.0]) for i, x in enumerate((1e300, -1e300, 3e17, 5e16, 2.0))]
+    got = topk.top_k(topk.quantise(spark.createDataFrame(given, "vec_id long, embedding array<double>"))).collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in sorted(got)] == [(0, 1, 2), (0, 2, 3), (0, 3, 4), (0, 4, 1)]
+    assert got[0].score == (1 << 63) - 1
+
+
 def test_top_k_on_embeddings(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()
     got = __spark_entry__.queries()["op8_top_k"](spark, sf_dir).collect()
