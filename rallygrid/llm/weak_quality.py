@@ -1,4 +1,4 @@
-"""Quality by weak supervision: rules vote or abstain, their accuracies are estimated."""
+"""Quality by weak supervision: rules vote or abstain, their accuracies in each class are estimated."""
 
 from __future__ import annotations
 
@@ -14,9 +14,10 @@ from .text_stats import AT, count_rows
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
-#: Measures of a text: name, measure of the counts, and two bounds: up to the first it is
-#: as in plain prose, from the second on it is a fault.
-MEASURES = [
+#: Rules, one a measure: name, measure of the counts, and two bounds.  On the side of the
+#: first a text is as plain prose is and the rule votes good; from the second on it has
+#: that fault and the rule votes bad; in between it abstains.
+RULES = [
     ("symbols", lambda c: c["n_symbols"] / c["words"], 0.02, 0.15),
     ("capitals", lambda c: c["n_upper"] / np.maximum(c["n_upper"] + c["n_lower"], 1), 0.12, 0.40),
     ("marks", lambda c: c["n_marks"] / c["words"], 0.05, 0.30),
@@ -26,17 +27,16 @@ MEASURES = [
     ("sameness", lambda c: 1 - np.log(np.maximum(c["n_distinct"], 1)) / np.log(c["words"] + 1), 0.12, 0.30),
     ("top_word", lambda c: c["n_top"] / c["words"], 0.12, 0.30),
     ("twins", lambda c: c["n_twins"] / c["words"], 0.05, 0.25),
+    ("unended_lines", lambda c: 1 - c["n_ended"] / c["lines"], 0.30, 0.80),
 ]
 
-#: Rules: each measure votes bad on a fault or abstains; one rule votes good where all
-#: measures are as in plain prose, or abstains.
-RULES = [name for name, *_ in MEASURES] + ["plain"]
-
-#: Where the accuracies begin: a fault is telling.  The share of good texts is a given and
-#: not estimated: a rule that mostly votes alone would else follow it and not its votes.
-START = np.array([0.97] * len(MEASURES) + [0.8])
-PRIOR = 0.7
-LONG = 20  # a text of fewer words gives no votes on repetition; they would say little
+#: Where the estimation begins: the share of good texts, and for each class the
+#: probabilities of a bad vote, an abstention and a good vote.  ``STRENGTH`` is the weight of
+#: this start, as a share of the texts, so that it counts alike at every size.
+SHARE = 0.7
+START = np.array([[0.25, 0.30, 0.45], [0.01, 0.09, 0.90]])  # bad texts, good texts
+STRENGTH = 0.005
+LONG = 20  # a text of fewer words gives no votes; its measures would say little
 
 
 def votes(counts: np.ndarray) -> np.ndarray:
@@ -44,12 +44,9 @@ def votes(counts: np.ndarray) -> np.ndarray:
     c = {name: counts[:, k].astype(float) for name, k in AT.items()}
     c["words"], c["lines"] = np.maximum(c["n_words"], 1), np.maximum(c["n_lines"], 1)
     out = np.zeros((len(counts), len(RULES)), np.int8)
-    plain = np.zeros((len(counts), len(MEASURES)), bool)
-    for k, (_, measure, good, bad) in enumerate(MEASURES):
+    for k, (_, measure, good, bad) in enumerate(RULES):
         m = measure(c)
-        out[:, k] = -(m >= bad).astype(np.int8)
-        plain[:, k] = m <= good
-    out[:, -1] = plain.all(axis=1)
+        out[:, k] = (m <= good).astype(np.int8) - (m >= bad).astype(np.int8)
     out[c["n_words"] < LONG] = 0
     return out
 
@@ -64,33 +61,54 @@ def unpattern(numbers: np.ndarray, rules: int) -> np.ndarray:
 
 
 class LabelModel:
-    """Two classes; each rule that votes is right with its own accuracy, apart from the others."""
+    """Two classes; each rule votes bad, abstains or votes good with its own probabilities in each class."""
+
+    def __init__(self, outcome: np.ndarray, share: float):
+        self.outcome, self.share = outcome, share  # outcome[class, rule, vote + 1]; class 1 is good
 
-    def __init__(self, accuracy: np.ndarray, prior: float):
-        self.accuracy, self.prior = accuracy, prior
+    @property
+    def accuracy(self) -> np.ndarray:
+        """For each class, how often each rule is right when it votes."""
+        right = np.stack([self.outcome[0, :, 0], self.outcome[1, :, 2]])
+        return right / np.maximum(self.outcome[:, :, 0] + self.outcome[:, :, 2], 1e-300)
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
-        """The probability of good quality for rows of votes; the prior where all abstain."""
-        weight = np.log(self.accuracy / (1 - self.accuracy))
-        return 1 / (1 + np.exp(-np.clip(np.log(self.prior / (1 - self.prior)) + v @ weight, -500, 500)))
+        """The probability of good quality for rows of votes; the share of good texts where all abstain."""
+        if not v.shape[1]:
+            return np.full(len(v), self.share)
+        each = np.take_along_axis(np.log(self.outcome[1] / self.outcome[0]), v.T.astype(np.int64) + 1, axis=1)
+        odds = np.log(self.share / (1 - self.share)) + np.where(v.any(axis=1), each.sum(axis=0), 0.0)
+        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
-def fit_label_model(v: np.ndarray, n: np.ndarray, start: np.ndarray, prior: float = PRIOR, rounds: int = 300) -> LabelModel:
+def fit_label_model(v: np.ndarray, n: np.ndarray, start: np.ndarray = START, share: float = SHARE, strength: float = STRENGTH, rounds: int = 1_000) -> LabelModel:
     """Expectation-maximisation over patterns of votes and how many rows have each.
 
-    Accuracies begin at ``start`` and are drawn to it by ten imagined votes, so a
-    rule that hardly votes stays near it; they stay in [0.55, 0.995], since a rule is
-    taken to be better than chance.
+    Both the rules' probabilities in each class and the share of good texts are
+    estimated.  They begin at ``start`` and ``share`` and are drawn to them with the
+    weight of ``strength`` times all rows.  Rows on which all rules abstain say
+    nothing and don't count.  ``start`` may also be one accuracy for each rule, for
+    both classes; how often a rule votes is then what it is over all rows.
     """
-    model = LabelModel(start, prior)
+    told, n = v.any(axis=1) & (n > 0), np.asarray(n, float)
+    total = n[told].sum()
+    if start.ndim == 1:
+        often = np.clip(n[told] @ (v[told] != 0) / max(total, 1.0), 0.01, 0.99)
+        right, wrong = often * start, often * (1 - start)
+        begin = np.array([[right, 1 - often, wrong], [wrong, 1 - often, right]]).transpose(0, 2, 1)
+    else:
+        begin = np.broadcast_to(start[:, None, :], (2, v.shape[1], 3))
+    model = LabelModel(begin, share)
+    v, n = v[told], n[told]
     if not len(v):
         return model
+    one_hot = (v[:, :, None] == np.array([-1, 0, 1])).astype(float)
     for _ in range(rounds):
         good = model.posterior(v)
-        right = (n * good) @ (v == 1) + (n * (1 - good)) @ (v == -1)
-        accuracy = np.clip((right + 10 * start) / (n @ (v != 0) + 10), 0.55, 0.995)
-        moved = abs(accuracy - model.accuracy).max()
-        model = LabelModel(accuracy, prior)
+        counted = np.stack([np.einsum("p,prv->rv", n * w, one_hot) for w in (1 - good, good)]) + strength * total * begin
+        outcome = counted / counted.sum(axis=2, keepdims=True)
+        moved = abs(outcome - model.outcome).max()
+        model = LabelModel(outcome, float((n @ good + strength * total * share) / (total * (1 + strength))))
         if moved < 1e-9:
             break
     return model
@@ -105,15 +123,17 @@ def weak_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``quality`` is 0.5 or more.  A null text has no words and fails the base.  Null
     and repeated ids go through; further columns are ignored.
 
-    The estimation sees every text, as counts of vote patterns, of which there are
-    at most 2 to the number of rules.
+    Rules vote good, vote bad or abstain; a single vote decides nothing.  The
+    estimation sees every text that the base leaves open, as counts of vote patterns,
+    of which there are at most 3 to the number of rules (59,049 rows of 24 bytes).
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, " + ", ".join(f"{b} long" for b in BASE) + ", pattern long"
     counted = written(mapped(docs, _count, schema), "votes")
-    patterns = counted.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").toPandas()  # at most 2**rules rows
+    failed = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
+    patterns = counted.groupBy("pattern").agg(F.count_if(~F.expr(failed)).alias("n")).orderBy("pattern").toPandas()  # at most 3**rules rows
     v = unpattern(patterns["pattern"].to_numpy(np.int64), len(RULES))
-    model = fit_label_model(v, patterns["n"].to_numpy(float), START)
+    model = fit_label_model(v, patterns["n"].to_numpy(float))
     quality = dict(zip(patterns["pattern"].tolist(), model.posterior(v).tolist(), strict=True))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
-from rallygrid.llm import bpe, line_dedup, near_dedup, oracles, packing, prefix_bpe, quality_classifier, sharding, topk, toxicity, warc, weak_quality
+from rallygrid.llm import bpe, line_dedup, near_dedup, oracles, packing, prefix_bpe, quality_classifier, sharding, text_stats, topk, toxicity, warc, weak_quality
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -334,6 +334,35 @@ def test_label_model_finds_accuracies():
     assert abs(model.accuracy - truth).max() < 0.03
 
 
+def test_label_model_weighs_votes_by_class():
+    """Rules of which one is telling: a bad vote of another alone doesn't decide, and texts go without any."""
+    rng = np.random.default_rng(5)
+    good = rng.uniform(size=20_000) < 0.8
+    p_bad = np.where(good[:, None], [0.001, 0.05, 0.05, 0.02], [0.6, 0.4, 0.5, 0.5])
+    p_good = np.where(good[:, None], [0.95, 0.9, 0.9, 0.9], [0.1, 0.2, 0.2, 0.1])
+    u = rng.uniform(size=(20_000, 4))
+    v = np.where(u < p_bad, -1, np.where(u > 1 - p_good, 1, 0))
+    numbers, n = np.unique(weak_quality.pattern(v), return_counts=True)
+    model = weak_quality.fit_label_model(weak_quality.unpattern(numbers, 4), n)
+    assert abs(model.share - 0.8) < 0.02 and abs(model.outcome[1, :, 0] - [0.001, 0.05, 0.05, 0.02]).max() < 0.02
+    kept = model.posterior(v) >= 0.5
+    bad_vote = (v == -1).any(axis=1)
+    assert (kept & bad_vote).sum() > 100 and (~kept & ~bad_vote).sum() > 100
+    # the posterior, by brute force
+    for k in range(0, 20_000, 997):
+        like = [np.prod([model.outcome[c, r, v[k, r] + 1] for r in range(4)]) for c in (0, 1)]
+        want = model.share * like[1] / (model.share * like[1] + (1 - model.share) * like[0])
+        assert abs(model.posterior(v[k : k + 1])[0] - (want if v[k].any() else model.share)) < 1e-9
+
+
+def test_weak_quality_is_not_all_must_pass(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    done = weak_quality.weak_quality(docs).where("NOT base_failed").join(docs, "doc_id").select("kept", "text").toPandas()
+    v = weak_quality.votes(text_stats.count_rows(done.text.tolist()))
+    bad_vote = (v == -1).any(axis=1)
+    assert (done.kept & bad_vote).sum() > 10 and (~done.kept & ~bad_vote).sum() >= 1
+
+
 def test_weak_quality_agrees_with_labels(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet").withColumnRenamed("quality", "label")
