@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped, written
 from .labelled import calibrated, id_remainder, isotonic, training_ids
 
 WINDOW = 40  # bytes; a window ends with the word that reaches it
-ORDINARY_BYTES, TOXIC_BYTES = 8_000, 4_000
-STEP = 12  # the toxic part is cut to a multiple, so that both dictionaries index the shared part alike
-TRAINING_ROWS, TRAINING_CHARS = 8_000, 20_000
+TRAINED_BYTES, SHARED_BYTES = 16_000, 8_000  # of each trained dictionary; of the part that both share
+SEGMENT, DMER = 24, 6  # bytes that the trainer places at a time, and by which it counts
+STEP = 12  # own parts are cut to a multiple, so that both dictionaries index the shared part alike
+TRAINING_ROWS, TRAINING_WINDOWS = 8_000, 500  # labelled rows; windows of one text that train, evenly spread
 GRAM, SURPRISE = 5, 8.0  # bytes of a letter group; nats by which its contexts must exceed chance
+EXCEEDED = 0.01  # the share of ordinary windows whose difference may pass the threshold
 _MARKS = b".,!?;:\"'()|"
 
 
@@ -34,19 +40,18 @@ def windows(text: str | None) -> list[bytes]:
 
 
 class ToxicityModel:
-    """Two dictionaries, and a calibration of how much better the toxic one compresses."""
+    """Two dictionaries, the threshold of a window's difference, and a calibration of texts' distances."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        toxic = toxic[len(toxic) % STEP :]
-        self.contents = (ordinary, toxic + ordinary)
-        self.weights, self.knots, self.rates = np.zeros(6), np.empty(0), np.empty(0)
+    def __init__(self, ordinary: bytes, toxic: bytes, threshold: float = 0.0):
+        self.contents, self.threshold = (ordinary, toxic), threshold
+        self.knots, self.rates = np.empty(0), np.empty(0)
         self._compress = None
 
     def __getstate__(self):
         return self.__dict__ | {"_compress": None}
 
-    def gains(self, text: str | None) -> np.ndarray:
-        """For each window, the bytes that the toxic dictionary saves over the ordinary one."""
+    def differences(self, parts: list[bytes]) -> np.ndarray:
+        """For each window, its compressed length with the ordinary dictionary less that with the toxic one."""
         if self._compress is None:
             # the tables' sizes are given, or they would follow the dictionary's and change how all windows are parsed
             params = zstandard.ZstdCompressionParameters(
@@ -60,68 +65,82 @@ class ToxicityModel:
                 for c in self.contents
             ]
         ordinary, toxic = self._compress
-        return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(text)], float)
+        return np.array([len(ordinary(w)) - len(toxic(w)) for w in parts], float)
+
+    def gains(self, text: str | None) -> np.ndarray:
+        return self.differences(windows(text))
+
+    def distance(self, text: str | None) -> float:
+        """What the windows' differences exceed the threshold by, over the root of how many windows there are.
 
-    def features(self, text: str | None) -> np.ndarray:
-        gains = self.gains(text)
-        if not len(gains):
-            return np.array([0, 0, 0, 0, 0, 1.0])
-        top = np.sort(gains)[-3:]
-        up = np.maximum(gains, 0)
-        return np.array([top[-1], top.sum() / 3, up.sum() / np.sqrt(len(gains)), (gains >= 4).sum() / np.sqrt(len(gains)), np.log1p(len(gains)), 1.0])
+        Where none exceeds it: how far the mean of the three largest stays below, as
+        a negative number; 0 for a text without windows.
+        """
+        found = self.gains(text)
+        over = np.maximum(found - self.threshold, 0).sum()
+        if over > 0 or not len(found):
+            return float(over / np.sqrt(max(1, len(found))))
+        return float(min(0.0, np.sort(found)[-3:].mean() - self.threshold))
+
+    def distances(self, texts: list[str | None]) -> np.ndarray:
+        return np.array([self.distance(t) for t in texts], float)
 
     def score_texts(self, texts: list[str | None]) -> np.ndarray:
-        if not len(self.knots):
-            return np.zeros(len(texts))
-        return calibrated(np.array([self.features(t) for t in texts]).reshape(-1, 6) @ self.weights, self.knots, self.rates)
-
-    def calibrate(self, features: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
-        """Weigh the features by logistic regression, then set the rates by isotonic regression."""
-        if not len(y):
-            return
-        penalty = np.diag([1e-2] * 5 + [1e-6]) * len(y)
-        w = np.zeros(6)
-        scale = np.maximum(features.std(axis=0), 1e-6)
-        scale[5] = 1
-        x = features / scale
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            v = np.maximum(p * (1 - p), 1e-6) * weight
-            w = w + np.linalg.solve((x * v[:, None]).T @ x + penalty * 0.01, x.T @ (weight * (y - p)) - penalty * 0.01 @ w)
-        self.weights = w / scale
-        self.knots, self.rates = isotonic(features @ self.weights, y, weight)
-
-
-def train_dictionaries(texts: list[str], y: np.ndarray, ordinary_bytes: int = ORDINARY_BYTES, toxic_bytes: int = TOXIC_BYTES) -> tuple[bytes, bytes]:
-    """Dictionary contents for ordinary and for toxic text.
-
-    The ordinary one is trained on windows of ordinary texts, the toxic one on what
-    sets toxic texts apart: the parts of their words whose letter groups stand in
-    more contexts, by the word before them, than ordinary texts account for.
-    Counting contexts and not occurrences keeps copies of one text from counting
-    twice.
+        return calibrated(self.distances(texts), self.knots, self.rates)
+
+
+def train_dictionaries(
+    texts: list[str] | list[list[bytes]], y: np.ndarray, trained_bytes: int = TRAINED_BYTES, shared_bytes: int = SHARED_BYTES
+) -> tuple[bytes, bytes]:
+    """Dictionary contents of equal size for ordinary and for toxic text.
+
+    A Zstandard dictionary is trained on the windows of either class.  Both hold
+    much that any text has, and there compression would tell languages and subjects
+    apart rather than toxic text.  So of each only the pieces are kept whose letter
+    groups stand in more contexts, by the word before them, than the other class
+    accounts for.  Counting contexts and not occurrences keeps copies of one text
+    from counting twice.  The two own parts are cut to one size and set before the
+    same end of the ordinary dictionary.
     """
-    pairs: tuple[set, set] = (set(), set())
-    for text, label in zip(texts, y, strict=True):
-        words = [w.strip(_MARKS) for w in text.encode("utf-8", "surrogatepass").lower().split()]
-        pairs[int(label)].update(zip([b"", *words], words, strict=False))
-    words = [Counter(w for _, w in found) for found in pairs]
-    grams = []
-    for counted in words:
-        c: Counter = Counter()
-        for w, n in counted.items():
+    parts = [windows(t) if isinstance(t, str) else t for t in texts]
+    grams, sizes, trained = [], [], []
+    for label in (0, 1):
+        own = [p for p, k in zip(parts, y, strict=True) if int(k) == label]
+        pairs = {pair for p in own for w in p for pair in _in_context(w)}
+        counted: Counter = Counter()
+        for w, n in Counter(w for _, w in pairs).items():
             for g in set(_grams(w)):
-                c[g] += n
-        grams.append(c)
-    share = len(pairs[1]) / max(1, len(pairs[0]) + len(pairs[1]))
-    apart = {g for g, n in grams[1].items() if _surprise(n, grams[0][g], share) > SURPRISE}
-    told: Counter = Counter()
-    for w, n in words[1].items():
-        at = [k for k, g in enumerate(_grams(w)) if g in apart]
-        if at:
-            told[(b" " + w + b" ")[at[0] : at[-1] + GRAM]] += n
-    samples = [w for text, label in zip(texts, y, strict=True) if not label for w in windows(text)]
-    return _trained(samples, ordinary_bytes, 32), _trained([w for w, n in sorted(told.items()) for _ in range(n)], toxic_bytes, 16)
+                counted[g] += n
+        grams.append(counted)
+        sizes.append(len(pairs))
+        trained.append(_trained([w for p in own for w in p], trained_bytes))
+    share = sizes[1] / max(1, sum(sizes))
+    ordinary = _pieces(trained[0], {g for g, n in grams[0].items() if _surprise(n, grams[1][g], 1 - share) > SURPRISE})
+    toxic = _pieces(trained[1], {g for g, n in grams[1].items() if _surprise(n, grams[0][g], share) > SURPRISE})
+    size, shared = len(toxic) // STEP * STEP, trained[0][-shared_bytes:]
+    toxic = toxic[len(toxic) - size :]
+    ordinary = ordinary[max(0, len(ordinary) - size) :]
+    return ordinary.rjust(size) + shared, toxic + shared
+
+
+def _in_context(window: bytes):
+    words = [w.strip(_MARKS) for w in window.split()]
+    return zip([b"", *words], words, strict=False)
+
+
+def _pieces(content: bytes, grams: set[bytes]) -> bytes:
+    """The parts of ``content`` that these letter groups cover, shortest first, none inside another."""
+    inside = np.zeros(len(content) + 1, bool)
+    for k in range(len(content) - GRAM + 1):
+        if content[k : k + GRAM] in grams:
+            inside[k : k + GRAM] = True
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], inside)).astype(np.int8)))
+    found = sorted({content[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)}, key=lambda p: (-len(p), p))
+    kept: list[bytes] = []
+    for piece in found:
+        if not any(piece in other for other in kept):
+            kept.append(piece)
+    return b"".join(reversed(kept))
 
 
 def _surprise(toxic: int, ordinary: int, share: float) -> float:
@@ -140,34 +159,61 @@ def _grams(word: bytes) -> list[bytes]:
     return [padded[k : k + GRAM] for k in range(len(padded) - GRAM + 1)]
 
 
-def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
-    whole = b"".join(sorted(set(samples))) if sum(map(len, set(samples))) <= size else b""
-    if whole or not samples:
-        return whole
+def _trained(samples: list[bytes], size: int) -> bytes:
+    """The content of a Zstandard dictionary trained on ``samples``; the samples themselves where they are too few."""
     try:
-        return zstandard.train_dictionary(size + 2000, samples, k=segment, d=6).as_bytes()[-size:]
-    except zstandard.ZstdError:  # too few samples to choose from
-        return b"".join(samples)[:size]
+        return zstandard.train_dictionary(size + 2000, samples, k=SEGMENT, d=DMER).as_bytes()[-size:]
+    except zstandard.ZstdError:
+        return b"".join(sorted(set(samples)))[:size]
+
+
+def _spread(text: str | None, most: int) -> list[bytes]:
+    parts = windows(text)
+    return parts if len(parts) <= most else [parts[k * len(parts) // most] for k in range(most)]
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[int, int] = (4, 2), rows: int = TRAINING_ROWS, chars: int = TRAINING_CHARS
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[int, int] = (4, 2), rows: int = TRAINING_ROWS, most: int = TRAINING_WINDOWS
 ) -> ToxicityModel:
-    """Fit on at most ``rows`` labelled documents of at most ``chars`` characters each.
-
-    None is of the held-out fold.  Up to ``rows / 2`` of either label are taken; half
-    of them train the dictionaries, half calibrate, where each label weighs as much
-    as it has rows outside the held-out fold.
+    """Fit on at most ``rows`` labelled documents.
+
+    None is of the held-out fold.  Up to ``rows / 2`` of either label are taken: half
+    of them train the dictionaries, each with at most ``most`` windows spread over its
+    whole text, and half calibrate with the distances of their whole texts, where
+    each label weighs as much as it has rows outside the held-out fold.  Texts of
+    any length take part; equal ones count once.  Without labelled rows in both
+    halves the model scores 0 throughout.
     """
     ids = F.broadcast(training_ids(labels, label, fold, rows, by_class=True))  # bounded by rows
     trained_on = labels.where(F.col(label).isin(0, 1)).where(id_remainder("doc_id", fold[0]) != fold[1])
     shares = {r[label]: r["n"] for r in trained_on.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    found = docs.select("doc_id", "text").where(F.length("text") <= chars).join(ids, "doc_id").select("doc_id", "text", "y", "half").toPandas()
-    found = found.sort_values(["doc_id", "text"]).drop_duplicates("text")
-    fitting, rest = found[found.half == 0], found[found.half == 1]
-    model = ToxicityModel(*train_dictionaries(fitting.text.tolist(), fitting.y.to_numpy()))
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(ids, "doc_id").where("text IS NOT NULL")
+    found = written(found.select("doc_id", "y", "half", "text", F.xxhash64("text").alias("code")), "toxicity-sample")
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spread = [_spread(t, most) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 4)), pa.array(spread, pa.list_(pa.binary()))], names=["doc_id", "y", "code", "windows"])
+
+    fitting = _once(mapped(found.where("half = 0"), sampled, "doc_id long, y int, code long, windows array<binary>").toPandas())  # at most rows * most windows
+    parts, y = [list(w) for w in fitting.windows], fitting.y.to_numpy()
+    model = ToxicityModel(*train_dictionaries(parts, y))
+    plain = model.differences([w for p, k in zip(parts, y, strict=True) if not k for w in p])
+    model.threshold = float(max(1.0, np.quantile(plain, 1 - EXCEEDED))) if len(plain) else 1.0
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = model.distances(batch.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 4)), pa.array(far, pa.float64())], names=["doc_id", "y", "code", "distance"])
+
+    rest = _once(mapped(found.where("half = 1"), measured, "doc_id long, y int, code long, distance double").toPandas())  # a number a row
     if len(rest) and len(fitting):
         y = rest.y.to_numpy(float)
         weight = np.where(y == 1, shares.get(1, 0) / max(1, (y == 1).sum()), shares.get(0, 0) / max(1, (y == 0).sum()))
-        model.calibrate(np.array([model.features(t) for t in rest.text]), y, weight / weight.mean())
+        model.knots, model.rates = isotonic(rest.distance.to_numpy(), y, weight / weight.mean())
     return model
+
+
+def _once(found: pd.DataFrame) -> pd.DataFrame:
+    """Rows in the order of ids, of equal texts the first."""
+    return found.sort_values(["doc_id", "code"]).drop_duplicates("code")

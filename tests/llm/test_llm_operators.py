@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import zstandard
 from oracle import against_sql
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -291,6 +292,74 @@ def test_toxic_dictionary_at_any_share_of_labels(toxic_share):
     assert np.mean([model.gains(t).max() for t in np.array(texts)[y == 1]]) > np.mean([model.gains(t).max() for t in np.array(texts)[y == 0]]) + 2
 
 
+def test_toxicity_against_brute_force(spark):
+    """The registered query's scores, from the fitted model by a plain reading of its docstrings."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit_toxicity(docs, labels)
+    assert len(model.contents[0]) == len(model.contents[1])
+    sizes = [zstandard.ZstdCompressionParameters(
+        window_log=16, hash_log=15, chain_log=16, search_log=6, min_match=4, target_length=64, strategy=zstandard.STRATEGY_LAZY2,
+        write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)] * 2
+    by = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(c, dict_type=1), compression_params=p) for c, p in zip(model.contents, sizes)]
+
+    def brute(text):
+        words, parts = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode().split(), [b" "]
+        found = []
+        for k, w in enumerate(words):
+            parts[-1] += w + b" "
+            if len(parts[-1]) > toxicity.WINDOW or k == len(words) - 1:
+                found.append(len(by[0].compress(parts[-1])) - len(by[1].compress(parts[-1])))
+                parts.append(b" ")
+        over = [x - model.threshold for x in found if x > model.threshold]
+        far = sum(over) / len(found) ** 0.5 if over else 0
+        if found and not over:
+            top = sorted(found)[-3:]
+            far = sum(top) / len(top) - model.threshold
+        at = np.searchsorted(model.knots, far)
+        rates = np.maximum.accumulate(model.rates)
+        if at in (0, len(rates)):
+            return rates[min(at, len(rates) - 1)]
+        lo, hi = model.knots[at - 1 : at + 1]
+        return rates[at - 1] + (rates[at] - rates[at - 1]) * (far - lo) / (hi - lo)
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = __spark_entry__.queries()["op6_toxicity"](spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert abs(r.score - brute(texts[r.doc_id])) < 1e-9 and r.predicted == (r.score >= 0.3)
+
+
+def test_quality_against_brute_force(spark):
+    """The registered query's scores, from the fitted model, one text at a time."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_classifier.fit_quality(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = __spark_entry__.queries()["op4_quality_classifier"](spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        z = (quality_classifier.statistics(text_stats.counts(texts[r.doc_id])[None])[0] - model.mean) / model.scale
+        z = [min(6, max(-6, x)) for x in z]
+        features = [np.cos(sum(a * b for a, b in zip(z, w)) + p) * (2 / len(model.phases)) ** 0.5 for w, p in zip(model.frequencies.T, model.phases)]
+        raw = sum(a * b for a, b in zip([*features, 1.0], model.weights))
+        assert abs(r.score - np.clip(np.interp(raw, model.knots, np.maximum.accumulate(model.rates)), 0, 1)) < 1e-6
+
+
+@pytest.mark.parametrize("name", ["toxicity", "quality"])
+def test_labels_of_long_equal_and_empty_texts(spark, name):
+    """Texts of any length train; equal ones, nulls, ties and clashing columns don't matter."""
+    long = " ".join(f"plain{k % 50} words go on" for k in range(9_000))
+    rows = [(i, [long, "", None, "short text of few words " * 5, f"awfulgrub{i % 3} is here again and again number {i} " * 3][i % 5], 7) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(i, int(i % 5 == 3), int(i % 5 == 4)) for i in range(100)] * 2, "doc_id long, quality int, toxic int")
+    model = toxicity.fit_toxicity(docs, labels) if name == "toxicity" else quality_classifier.fit_quality(docs, labels)
+    done = quality_classifier.score_documents(docs, model).collect()
+    assert len(done) == 100 and all(0 <= r.score <= 1 for r in done)
+    best = [np.mean([r.score for r in done if r.doc_id % 5 == k]) for k in range(5)]
+    assert np.argmax(best) == (4 if name == "toxicity" else 3)
+
+
 def test_isotonic():
     from rallygrid.llm.labelled import calibrated, isotonic
 
