@@ -46,7 +46,16 @@ def written(df: DataFrame, name: str, *sort: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 #: Rows of an Arrow batch: it is held whole by the JVM and by Python, so with long texts

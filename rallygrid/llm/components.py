@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 #: Rows to a task: small edge tables aren't dealt over many files.
 TASK_ROWS = 100_000
@@ -33,9 +33,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = written(
             both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks), "large"
         )
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks), "least")
-        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(tasks), "edges")
+        small = written(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks), "least")
+        moved = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = written(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct().coalesce(tasks), "edges")
+        discard(now, least, large, small)
+        now = after
         before, state = state, _fingerprint(now)
         if state == before:
             break

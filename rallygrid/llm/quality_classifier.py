@@ -114,13 +114,14 @@ def score_documents(docs: DataFrame, model, column: str = "score") -> DataFrame:
     docs = docs.drop(column)
     at = docs.columns.index("text")
     schema = StructType([*docs.schema.fields, StructField(column, DoubleType())])
+    names = [*docs.columns, column]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = model.score_texts(batch.column(at).cast(pa.string()).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, column])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=names)
 
-    return mapped(docs, score, schema)
+    return mapped(docs.toDF(*(f"_{k}" for k in range(len(docs.columns)))), score, schema)  # names may hold dots
 
 
 _WIDTH = statistics(np.zeros((1, len(NAMES)))).shape[1]

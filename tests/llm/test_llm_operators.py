@@ -231,6 +231,25 @@ def test_near_duplicates_in_chains_and_large_groups(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_groups(docs.collect())
 
 
+def test_near_duplicates_in_small_blocks(spark, monkeypatch):
+    """Clusters of several components, in blocks and slices of a few classes."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "SLICE", 3)
+    rng = np.random.default_rng(8)
+    base = [f"v{k}" for k in range(150)]
+    rows = []
+    for n in range(140):
+        own = list(base)
+        for at in rng.choice(150, int(rng.integers(1, 9)), replace=False):
+            own[at] = f"e{rng.integers(10**6)}"
+        rows.append((n, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_duplicates(docs).collect()
+    want = brute_groups(docs.collect())
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == want
+    assert 3 < sum(r.kept for r in got) < 139
+
+
 def test_superminhash():
     from rallygrid.llm.superminhash import signatures, splitmix
 

@@ -56,3 +56,44 @@ def test_stages_and_run(spark):
         assert found and found <= ids and (name != "line_dedup" or found == ids)
         ids, left = found, done
     assert rows(corpus_pipeline.run(spark, sf_dir)) == rows(corpus_pipeline.packing(spark, left, sf_dir)) != {}
+
+
+LINE = "This line is long enough to count as shared by many documents."
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty, blank, long and repeated texts, repeated rows and names that clash with the stages' own."""
+    long = " ".join(f"word{k % 977}" for k in range(20_000))
+    plain = "\n".join(" ".join(f"plain{k * n % 83}" for k in range(12)) + "." for n in range(1, 9))
+    texts = [None, "", " \t\n ", "one two", long, plain, plain, plain.replace("plain7", "other"), f"{LINE}\nown"]
+    rows = [(i, t, "en", None, 1, 2, 0.5, 0.25, "a", 1, 2) for i, t in enumerate(texts)]
+    rows += [(100 + i, f"{LINE}\nline {i}", None, 0, *[None] * 7) for i in range(6)]
+    rows += [rows[5], (None, plain, *[None] * 9), (None, None, *[None] * 9)]
+    names = "n_chars int, n_lines int, n_dropped int, score double, _score double, `a.b` string, key int, length int"
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, {names}")
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stage_on_odd_rows(spark, odd, name, stage, tmp_path):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality", "toxic")
+    sf_dir = folder(tmp_path, labels.union(odd.where("doc_id IS NOT NULL").select("doc_id", F.lit(1), F.lit(0)).distinct()))
+    none = stage(spark, odd.limit(0), sf_dir)
+    assert none.count() == 0
+    done = stage(spark, odd, sf_dir)
+    if name == "packing":
+        assert {r.doc_id for r in done.collect()} == {r.doc_id for r in odd.collect()} and none.columns == done.columns
+        return
+    assert done.columns == odd.columns == none.columns and done.dtypes[:2] == odd.dtypes[:2]
+    got, had = rows(done), rows(odd)
+    if name == "line_dedup":
+        assert sorted(r[2:3] + r[4:] for r in got.elements() if r[0] is not None and r[0] < 100) == sorted(r[2:3] + r[4:] for r in had.elements() if r[0] is not None and r[0] < 100)
+        texts = {r[0]: r[1] for r in got}
+        assert len(texts) == len({r[0] for r in had}) and sum(got.values()) == sum(had.values())
+        assert texts[100] == "line 0" and texts[105] == f"{LINE}\nline 5" and texts[8] == "own"
+        assert all(r[3] == len(r[1]) for r in got)
+        return
+    assert got <= had
+    if name == "near_dedup":
+        gone = {r[0] for r in had} - {r[0] for r in got}
+        assert gone == {6, 7, *range(101, 106)} and got[next(r for r in had if r[0] == 5)] == 2 and sum(r[0] is None for r in got) == 2
