@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import COURT, Court
+from ..config import CLASS_NAMES, COURT, Court
 
 
 def rounded(c: Column) -> Column:
@@ -19,6 +19,11 @@ def class_key(name: Column) -> Column:
     return F.regexp_replace(plain, "^(.+)s$", "$1")
 
 
+def class_name(class_id: Column) -> Column:
+    """The vocabulary's name of a class id; null for others."""
+    return F.create_map(*(F.lit(v) for pair in CLASS_NAMES.items() for v in pair))[class_id]
+
+
 def in_zone(x: Column, y: Column, court: Court = COURT) -> Column:
     return x.between(court.margin_x_m, court.length_m - court.margin_x_m) & y.between(court.margin_y_m, court.width_m - court.margin_y_m)
 

@@ -47,6 +47,11 @@ def player_stats(positions: DataFrame, fps: float, real_only: bool = True, max_s
     )
 
 
+def longest(stats: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` tracks that went furthest; ties by clip and track."""
+    return stats.orderBy(F.desc("distance_parcourue_m"), *TRACK).limit(n)
+
+
 def top_tracker(stats: DataFrame) -> DataFrame:
     """The track with the most real frames of each clip; of equal ones the smallest id."""
     best = F.max_by("tracker_id", F.struct("nb_frames_detectees", -F.col("tracker_id")))

@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 
 @dataclass(frozen=True)
 class TrackerConfig:
-    high: float = 0.25  # confidence of the first stage and of new tracks
-    low: float = 0.1
+    high: float = 0.25  # confidence of the first stage
+    low: float = 0.1  # and of the second
+    new: float = 0.25  # least confidence that begins a track, from the first stage's boxes
     buffer: int = 30  # frames that a lost track is kept, at 30 frames a second
-    match: float = 0.8  # greatest cost of a match
+    match: float = 0.8  # greatest cost of a match in the first stage
+    second: float = 0.5  # and in the second
     least_frames: int = 2  # matches before a track is reported
     appearance: float = 0.0  # weight of the embedding distance
 
@@ -93,14 +95,15 @@ def track_clip(rows: pd.DataFrame, config: TrackerConfig, rate: int) -> np.ndarr
         for t in tracks:
             t.predict()
         free, given = list(range(len(tracks))), set()
-        for stage in (at[conf[at] >= config.high], at[(conf[at] < config.high) & (conf[at] >= config.low)]):
+        sure, unsure = at[conf[at] >= config.high], at[(conf[at] < config.high) & (conf[at] >= config.low)]
+        for stage, limit in ((sure, config.match), (unsure, config.second)):
             if not len(free) or not len(stage):
                 continue
             cost = 1 - iou(np.array([tracks[k].box for k in free]), boxes[stage])
             if features:
                 near = np.array([[1.0 if tracks[k].feature is None else 1 - float(_cosine(tracks[k].feature, features[d])) for d in stage] for k in free])
                 cost = (1 - config.appearance) * cost + config.appearance * near
-            pairs = assign(cost, config.match if not given else 0.5)
+            pairs = assign(cost, limit)
             for i, j in pairs:
                 t, d = tracks[free[i]], stage[j]
                 t.update(boxes[d], features[d] if features else None)
@@ -115,7 +118,7 @@ def track_clip(rows: pd.DataFrame, config: TrackerConfig, rate: int) -> np.ndarr
             tracks[k].missed += 1
         tracks = [t for t in tracks if t.missed <= (keep if t.id is not None else 0)]
         for d in at:
-            if d not in given and conf[d] >= config.high:
+            if d not in given and conf[d] >= max(config.high, config.new):
                 tracks.append(_Track(boxes[d], features[d] if features else None))
                 if config.least_frames <= 1:
                     tracks[-1].id, out[d], next_id = next_id, next_id, next_id + 1

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CLASS_IDS, COURT, Court
-from ..functions.scalar import class_key, in_zone
+from ..functions.scalar import class_key, feet, in_zone, project
 
 TRACK = ["clip_id", "tracker_id"]
 
@@ -43,6 +44,12 @@ def player_positions(det: DataFrame, classes: DataFrame, class_id: int = 0, cour
     return kept.select(*TRACK, "frame_idx", "det_ord", "x_m", "y_m", F.lit(False).alias("interpole"))
 
 
+def located(boxes: DataFrame, h: list[float]) -> DataFrame:
+    """``boxes(.., x1, y1, x2, y2)`` with ``x_m`` and ``y_m``: where their feet stand on the court, by the homography ``h``."""
+    x, y = project(*feet(F.col("x1"), F.col("x2"), F.col("y2")), h)
+    return boxes.withColumn("x_m", x).withColumn("y_m", y)
+
+
 def drop_short_tracks(positions: DataFrame, min_frames: int) -> DataFrame:
     """Tracks with at least ``min_frames`` real positions, interpolated rows included; all if it is 1 or less."""
     if min_frames <= 1:
@@ -107,8 +114,20 @@ def resume_pairs(candidates: DataFrame) -> DataFrame:
     return per_clip.select("clip_id", F.explode(F.expr(fold)).alias("p")).select("clip_id", "p.a", "p.b")
 
 
-def player_estimate(positions: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Tracks less resumed identities: matched pairs make paths, so each pair joins two tracks into one player."""
+def player_estimate(positions: DataFrame, pairs: DataFrame, paths: bool = False) -> DataFrame:
+    """Tracks, pairs given, and players: the components that the pairs make of a clip's tracks.
+
+    Pairs may repeat, run both ways, close circles or name tracks that don't exist,
+    which join nothing.  Those of ``resume_pairs`` make paths (``paths``), so there
+    each joins two tracks into one player and no components need be found; else one
+    task joins a clip's pairs, which are few.
+    """
+    if not paths:
+        kinds = dict(positions.dtypes)
+        ids = positions.select(*TRACK).distinct()
+        return ids.groupBy("clip_id").cogroup(pairs.select("clip_id", "a", "b").groupBy("clip_id")).applyInPandas(
+            _players, f"clip_id {kinds['clip_id']}, nb_tracks long, nb_reprises long, nb_joueurs long"
+        )
     n = positions.groupBy("clip_id").agg(F.count_distinct("tracker_id").alias("nb_tracks"))
     r = pairs.groupBy("clip_id").agg(F.count("*").alias("nb_reprises"))
     return n.join(r, "clip_id", "left").select(
@@ -116,9 +135,26 @@ def player_estimate(positions: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def _players(ids: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    group = {t: t for t in ids["tracker_id"].tolist()}
+
+    def head(t):
+        while group[t] != t:
+            t = group[t]
+        return t
+
+    for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True):
+        if a in group and b in group:
+            lo, hi = sorted((head(a), head(b)))
+            group[hi] = lo
+    players = sum(t == up for t, up in group.items())
+    rows = [(ids["clip_id"].iloc[0], len(ids), len(pairs), players)] if len(ids) else []
+    return pd.DataFrame(rows, columns=["clip_id", "nb_tracks", "nb_reprises", "nb_joueurs"])
+
+
 def tracking_quality(positions: DataFrame, max_m: float = 3.0, max_frames: int = 30) -> DataFrame:
     """Tracks, resumed identities, estimated players and mean real length of each clip."""
     bounds = track_bounds(positions)
-    estimate = player_estimate(positions, resume_pairs(resume_candidates(bounds, max_m, max_frames)))
+    estimate = player_estimate(positions, resume_pairs(resume_candidates(bounds, max_m, max_frames)), paths=True)
     mean = bounds.groupBy("clip_id").agg(F.avg("n_real").alias("longueur_moyenne"))
     return estimate.join(mean, "clip_id", "left").withColumn("longueur_moyenne", F.coalesce("longueur_moyenne", F.lit(0.0)))

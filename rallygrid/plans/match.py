@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import COURT, Court
-from ..operators import actions, render, stats, tracks
+from ..config import COURT, Court, Detector
+from ..operators import actions, render, stats, tracking, tracks
 from ..operators.homography import Homography
+from ..operators.teams import track_teams, two_colours
+from ..sources.detections import detector_filter
 
 
 @dataclass(frozen=True)
@@ -47,7 +49,8 @@ def analyse(
         quality.join(positions.groupBy("clip_id").agg(F.count_distinct("tracker_id").alias("nb_joueurs_avant_filtre")), "clip_id", "left")
         .join(player.groupBy("clip_id").agg(F.count("*").alias("nb_joueurs_stats")), "clip_id", "left")
         .join(found.groupBy("clip_id").agg(F.count("*").alias("nb_actions_detectees")), "clip_id", "left")
-        .join(classes.groupBy("clip_id").agg(F.count("*").alias("nb_trackers_total"), F.count_if(F.col("class_id") == 0).alias("nb_joueurs_classes")), "clip_id", "right")
+        .join(classes.groupBy("clip_id").agg(F.count("*").alias("nb_trackers_total")), "clip_id", "right")
+        .join(teams.where(F.col("team").isNotNull()).groupBy("clip_id").agg(F.count_distinct("tracker_id").alias("nb_joueurs_classes")), "clip_id", "left")
         .join(frames.select("clip_id", "frame_idx").distinct().groupBy("clip_id").agg(F.count("*").alias("nb_frames_analysees")), "clip_id", "left")
         .na.fill(0)
     )
@@ -65,6 +68,60 @@ def analyse(
     return MatchAnalysis(positions, quality, player, width[0].unionByName(width[1]), tracks.interpolate(kept, max_gap), found, meta, colours)
 
 
+def analyse_boxes(
+    boxes: DataFrame, frames: DataFrame, fps: float, homography: Homography, teams: DataFrame | None = None, torsos: DataFrame | None = None,
+    names: DataFrame | None = None, tracker: str = "bytetrack", subsample: int = 1, min_frames: int = 0, home: int = 0, court: Court = COURT,
+    clips: DataFrame | None = None, detector: Detector | None = None,
+) -> MatchAnalysis:
+    """From a detector's boxes to the whole analysis: filter, track, place on the court, find teams, analyse.
+
+    ``boxes(clip_id, frame_idx, det_ord, x1, y1, x2, y2, confidence, class_id[, embedding])``
+    have pixels of the picture that ``homography`` was calibrated on.  ``names(class_id,
+    name)`` are the detector's classes, where they aren't the vocabulary's.  Teams come
+    from ``teams(clip_id, tracker_id, team)`` or, of players, from the colours in
+    ``torsos(clip_id, frame_idx, det_ord, b, g, r)``; without either no track has one.
+    """
+    kept = detector_filter(boxes, detector) if detector else boxes
+    if names is not None:
+        kept = tracks.remap_classes(kept, names)
+    told = tracking.track_with(kept, tracker, fps, subsample).drop("class_id")
+    det = tracks.located(kept, homography.h).join(told, ["clip_id", "frame_idx", "det_ord"])
+    if teams is None and torsos is not None:
+        players = tracks.majority(det, "class_id").where(F.col("class_id") == 0).select(*tracks.TRACK)
+        looks = torsos.join(det.select("clip_id", "frame_idx", "det_ord", "tracker_id").join(players, tracks.TRACK, "left_semi"), ["clip_id", "frame_idx", "det_ord"])
+        teams = track_teams(two_colours(looks))
+    if teams is None:
+        teams = det.select(*tracks.TRACK, F.lit(None).cast("int").alias("team")).limit(0)
+    return analyse(det, frames, teams, fps, subsample, min_frames, home, court, tracker, homography, clips)
+
+
+def detection_seconds(frames: int, subsample: int = 1, per_second: float = 25.0) -> float:
+    """How long a detector of so many pictures a second takes for every ``subsample``-th frame."""
+    return frames / max(subsample, 1) / per_second
+
+
+def metadata_dicts(analysis: MatchAnalysis) -> dict:
+    """The metadata of each clip by its id; a clip is a row, so they are few.
+
+    The mean length is rounded to one decimal as Python rounds, to the nearest
+    number that prints so, which no rounding of Spark's does for all ties.
+    """
+    out = {}
+    for row in analysis.metadata.collect():
+        found = row.asDict()
+        for old, new in (("nb_reprises", "nb_reprises_id"), ("nb_joueurs", "nb_joueurs_estimes"), ("longueur_moyenne", "longueur_track_moyenne")):
+            found[new] = found.pop(old)
+        found["longueur_track_moyenne"] = round(found["longueur_track_moyenne"], 1)
+        out[found.pop("clip_id")] = found
+    return out
+
+
+def read_block_width(spark: SparkSession, folder: str) -> DataFrame:
+    """What ``write`` wrote as CSV of the block's width, of both teams."""
+    schema = "clip_id long, frame_idx long, largeur_y_m double, x_moyen double, nb_defenseurs_visibles long, temps_s double, equipe string"
+    return spark.read.schema(schema).csv(f"{folder}/largeur_bloc.csv", header=True)
+
+
 def write(analysis: MatchAnalysis, folder: str) -> None:
     """Statistics as Parquet and CSV, block width by team as CSV, the rest as Parquet."""
     analysis.stats.write.mode("overwrite").parquet(f"{folder}/stats_joueurs.parquet")

@@ -40,15 +40,7 @@ _CTES: dict[str, tuple[str, str]] = {
     "estimate": ("pairs", """SELECT t.clip_id, t.n AS nb_tracks, coalesce(r.n, 0) AS nb_reprises, t.n - coalesce(r.n, 0) AS nb_joueurs
         FROM (SELECT clip_id, count(DISTINCT tracker_id) AS n FROM pos GROUP BY 1) t LEFT JOIN (SELECT clip_id, count(*) AS n FROM pairs GROUP BY 1) r USING (clip_id)"""),
     "counts": ("frames tc", """SELECT f.clip_id, f.frame_idx, count(d.det_ord) AS nb FROM frames f LEFT JOIN (
-        SELECT d.* FROM det d JOIN tc USING (clip_id, tracker_id) WHERE tc.class_id = 0 AND d.frame_idx % 16 <> 0) d USING (clip_id, frame_idx) GROUP BY ALL"""),
-    "marked": ("counts", """SELECT *, lag(frame_idx) OVER w AS before, max(CASE WHEN nb >= 7 THEN frame_idx END) OVER (PARTITION BY clip_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last
-        FROM counts WINDOW w AS (PARTITION BY clip_id ORDER BY frame_idx)"""),
-    "islands": ("marked", """SELECT *, sum(CASE WHEN nb >= 7 AND before > last AND (before - last) / 5e0 > 7e-1 THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id ORDER BY frame_idx) AS island FROM marked"""),
-    "spans": ("islands", """SELECT clip_id, island, min(frame_idx) FILTER (nb >= 8) AS frame_debut, max(frame_idx) AS frame_fin FROM islands WHERE nb >= 7
-        GROUP BY ALL HAVING (max(frame_idx) - min(frame_idx) FILTER (nb >= 8)) / 5e0 >= 1e0"""),
-    "acts": ("spans", """SELECT s.clip_id, s.frame_debut, s.frame_fin, (s.frame_fin - s.frame_debut) / 5e0 AS duree_s, avg(i.nb) AS nb_joueurs_moyen,
-        row_number() OVER (PARTITION BY s.clip_id ORDER BY s.frame_debut) - 1 AS action_idx
-        FROM spans s JOIN islands i ON i.clip_id = s.clip_id AND i.island = s.island AND i.frame_idx BETWEEN s.frame_debut AND s.frame_fin GROUP BY s.clip_id, s.frame_debut, s.frame_fin"""),
+        SELECT d.* FROM det d JOIN tc USING (clip_id, tracker_id) WHERE tc.class_id = 0) d USING (clip_id, frame_idx) GROUP BY ALL"""),
     "colours": ("tc team", """SELECT clip_id, tracker_id, CASE class_id WHEN 1 THEN 0 WHEN 2 THEN 255 WHEN 0 THEN CASE WHEN team = 0 THEN 0 ELSE 0 END ELSE 128 END AS b,
         CASE class_id WHEN 1 THEN 215 WHEN 2 THEN 0 WHEN 0 THEN CASE WHEN team = 0 THEN 255 ELSE 0 END ELSE 128 END AS g,
         CASE class_id WHEN 1 THEN 255 WHEN 2 THEN 255 WHEN 0 THEN CASE WHEN team = 0 THEN 0 ELSE 255 END ELSE 128 END AS r
@@ -57,6 +49,25 @@ _CTES: dict[str, tuple[str, str]] = {
 }
 
 
+def _action_ctes(name: str, start: int, end: int, least: float, pause: float) -> dict[str, tuple[str, str]]:
+    """Actions by these thresholds, as the expression ``name``."""
+    return {
+        f"{name}_marked": ("counts", f"""SELECT *, lag(frame_idx) OVER w AS before,
+            max(CASE WHEN nb >= {end} THEN frame_idx END) OVER (PARTITION BY clip_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last
+            FROM counts WINDOW w AS (PARTITION BY clip_id ORDER BY frame_idx)"""),
+        f"{name}_islands": (f"{name}_marked", f"""SELECT *, sum(CASE WHEN nb >= {end} AND before > last AND (before - last) / 5e0 > {pause:e} THEN 1 ELSE 0 END)
+            OVER (PARTITION BY clip_id ORDER BY frame_idx) AS island FROM {name}_marked"""),
+        f"{name}_spans": (f"{name}_islands", f"""SELECT clip_id, island, min(frame_idx) FILTER (nb >= {start}) AS frame_debut, max(frame_idx) AS frame_fin FROM {name}_islands WHERE nb >= {end}
+            GROUP BY ALL HAVING (max(frame_idx) - min(frame_idx) FILTER (nb >= {start})) / 5e0 >= {least:e}"""),
+        name: (f"{name}_spans", f"""SELECT s.clip_id, s.frame_debut, s.frame_fin, (s.frame_fin - s.frame_debut) / 5e0 AS duree_s, avg(i.nb) AS nb_joueurs_moyen,
+            row_number() OVER (PARTITION BY s.clip_id ORDER BY s.frame_debut) - 1 AS action_idx FROM {name}_spans s
+            JOIN {name}_islands i ON i.clip_id = s.clip_id AND i.island = s.island AND i.frame_idx BETWEEN s.frame_debut AND s.frame_fin GROUP BY s.clip_id, s.frame_debut, s.frame_fin"""),
+    }
+
+
+_CTES |= _action_ctes("acts", 8, 7, 1.0, 0.7) | _action_ctes("plain_acts", 6, 4, 3.0, 3.0)
+
+
 def _r(expression: str) -> str:
     return f"floor(({expression}) * 1e6 + 0.5) / 1e6"
 
@@ -111,11 +122,26 @@ _KEY = r"regexp_replace(trim(translate(lower(trim(name)), '_-', '  ')), '^(.+)s$
 _RADAR = "40 + CAST(round_even(greatest(0e0, least(x_m, 4e1)) * 22, 0) AS INT) AS cx, 50 + CAST(round_even((2e1 - greatest(0e0, least(y_m, 2e1))) * 22, 0) AS INT) AS cy"
 
 
-def _project() -> str:
+def _project(more: str = "", rounded: bool = True) -> str:
     h = ["0.04", "0.002", "-1.5", "-0.001", "0.05", "0.25", "0.0001", "0.0002", "1.0"]
     row = [f"({h[k]}::DOUBLE * px + {h[k + 1]}::DOUBLE * py + {h[k + 2]}::DOUBLE)" for k in (0, 3, 6)]
-    return f"""SELECT clip_id, det_ord, {_r("px")} AS px, {_r("py")} AS py, {_r(f"CAST(CAST({row[0]} / {row[2]} AS FLOAT) AS DOUBLE)")} AS x, {_r(f"CAST(CAST({row[1]} / {row[2]} AS FLOAT) AS DOUBLE)")} AS y
-      FROM (SELECT clip_id, det_ord, CAST(CAST((x1 + x2) / 2::FLOAT AS FLOAT) AS DOUBLE) AS px, CAST(y2 AS DOUBLE) AS py FROM boxes)"""
+    show = _r if rounded else str
+    return f"""SELECT clip_id, {more}det_ord, {show("px")} AS px, {show("py")} AS py, {show(f"CAST(CAST({row[0]} / {row[2]} AS FLOAT) AS DOUBLE)")} AS x, {show(f"CAST(CAST({row[1]} / {row[2]} AS FLOAT) AS DOUBLE)")} AS y
+      FROM (SELECT clip_id, {more}det_ord, CAST(CAST((x1 + x2) / 2::FLOAT AS FLOAT) AS DOUBLE) AS px, CAST(y2 AS DOUBLE) AS py FROM boxes)"""
+
+
+def _metadata() -> str:
+    """Without short tracks taken out, statistics count the tracks that quality counts."""
+    part = lambda name, rows: f"(SELECT clip_id, count(*) AS {name} FROM {rows} GROUP BY 1)"
+    counted = {
+        "nb_trackers_total": "tc", "nb_joueurs_classes": "(SELECT DISTINCT clip_id, tracker_id FROM team)", "nb_joueurs_avant_filtre": "bounds",
+        "nb_joueurs_stats": "bounds", "nb_actions_detectees": "plain_acts", "nb_frames_analysees": "frames",
+    }
+    joins = "".join(f" LEFT JOIN {part(n, rows)} USING (clip_id)" for n, rows in counted.items())
+    return f"""SELECT clip_id, {", ".join(f"coalesce({n}, 0) AS {n}" for n in (*counted, "nb_tracks", "nb_reprises", "nb_joueurs"))}, {_r("coalesce(longueur_moyenne, 0)")} AS longueur_moyenne,
+      5e0 AS fps, 1 AS subsample, 5 AS max_gap_interpolation, CAST(NULL AS VARCHAR) AS homographie_methode, CAST(NULL AS INT) AS homographie_nb_points, 0 AS cluster_mhb,
+      CAST(NULL AS VARCHAR) AS tracker, 0 AS min_frames_track, CAST(NULL AS BIGINT) AS nb_frames_total
+      FROM (SELECT DISTINCT clip_id FROM tc){joins} LEFT JOIN estimate USING (clip_id) LEFT JOIN (SELECT clip_id, avg(n_real) AS longueur_moyenne FROM bounds GROUP BY 1) USING (clip_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -129,6 +155,9 @@ def oracle_sql() -> dict[str, str]:
         "player_filter": _with("pl", "SELECT * FROM pl"),
         "zone_filter": _with("det", "SELECT clip_id, det_ord, x_m, y_m FROM det WHERE x_m BETWEEN 0 AND 40 AND y_m BETWEEN 2 AND 18"),
         "project_feet": _with("boxes", _project()),
+        "project_positions": _with("boxes tc", f"""SELECT clip_id, tracker_id, frame_idx, det_ord, {_r("x")} AS x_m, {_r("y")} AS y_m FROM (
+            SELECT p.* FROM ({_project("tracker_id, frame_idx, ", rounded=False)}) p JOIN tc USING (clip_id, tracker_id) WHERE class_id = 0) WHERE x BETWEEN 0 AND 40 AND y BETWEEN 2 AND 18"""),
+        "run_metadata": _with("plain_acts estimate bounds team frames", _metadata()),
         "short_track_filter": _with("pos", "SELECT * FROM pos QUALIFY count(*) OVER (PARTITION BY clip_id, tracker_id) >= 10"),
         "interpolate_gaps": _with("filled", "SELECT clip_id, tracker_id, frame_idx, x_m, y_m, interpole FROM filled"),
         "player_stats": _with("pos", _stats("pos", "12e0")),
@@ -156,5 +185,5 @@ def oracle_sql() -> dict[str, str]:
             QUALIFY row_number() OVER (PARTITION BY clip_id, tracker_id ORDER BY n DESC, f) = 1"""),
         "correspondences_json": "SELECT * FROM (VALUES (1, 'A', 100, 200, 0e0, 0e0), (1, 'B', 1000, 100, 4e1, 205e-1)) AS t(clip_id, name, px, py, xm, ym)",
         "torso_median": _with("det", """SELECT clip_id, frame_idx, det_ord, median((p * 3 + det_ord) % 251) AS b, median((p * 4 + det_ord) % 251) AS g, median((p * 5 + det_ord) % 251) AS r
-            FROM (SELECT *, unnest(range(200)) AS p FROM det WHERE k < 3) WHERE p // 10 >= 3 AND p // 10 < 8 AND p % 10 >= 3 AND p % 10 < 7 GROUP BY clip_id, frame_idx, det_ord"""),
+            FROM (SELECT *, unnest(range(200)) AS p FROM det) WHERE p // 10 >= 3 AND p // 10 < 8 AND p % 10 >= 3 AND p % 10 < 7 GROUP BY clip_id, frame_idx, det_ord"""),
     }

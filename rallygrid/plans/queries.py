@@ -82,6 +82,11 @@ def _project(b: Base) -> DataFrame:
     return _round(b.boxes.select("clip_id", "det_ord", px.cast("double").alias("px"), py.cast("double").alias("py"), x.alias("x"), y.alias("y")), "px", "py", "x", "y")
 
 
+def _positions(b: Base) -> DataFrame:
+    """From boxes to positions: feet, homography, voted class, zone."""
+    return _round(tracks.player_positions(tracks.located(b.boxes.drop("x_m", "y_m"), H), b.classes).drop("interpole"), "x_m", "y_m")
+
+
 def _names(spark: SparkSession, rows=NAMES) -> DataFrame:
     return spark.createDataFrame(rows, "class_id int, name string")
 
@@ -135,6 +140,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "player_filter": lambda b, s: tracks.player_positions(b.det, b.classes, court=None).drop("interpole"),
         "zone_filter": lambda b, s: b.det.where(in_zone(F.col("x_m"), F.col("y_m"))).select("clip_id", "det_ord", "x_m", "y_m"),
         "project_feet": lambda b, s: _project(b),
+        "project_positions": lambda b, s: _positions(b),
+        "detection_nms": lambda b, s: detections.suppress(b.boxes, 0.3).select("clip_id", "det_ord", "class_id"),
         "short_track_filter": lambda b, s: tracks.drop_short_tracks(b.positions, 10).drop("interpole"),
         "interpolate_gaps": lambda b, s: tracks.interpolate(b.positions).select(*tracks.TRACK, "frame_idx", "x_m", "y_m", "interpole"),
         "player_stats": lambda b, s: _stats(b.positions),
@@ -148,7 +155,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "track_bounds": lambda b, s: tracks.track_bounds(b.positions),
         "id_resume_candidates": lambda b, s: _round(_resumes(b).select("clip_id", "a", "b", "gap", "dist_m"), "dist_m"),
         "id_resume_pairs": lambda b, s: tracks.resume_pairs(_resumes(b)),
-        "player_count_estimate": lambda b, s: tracks.player_estimate(b.positions, tracks.resume_pairs(_resumes(b))),
+        "player_count_estimate": lambda b, s: tracks.player_estimate(b.positions, tracks.resume_pairs(_resumes(b)), paths=True),
         "tracking_quality": lambda b, s: _round(tracks.tracking_quality(b.positions), "longueur_moyenne"),
         "heatmap_raw": lambda b, s: _round(stats.heatmap(b.positions, sigma=None), "densite"),
         "heatmap_smoothed": lambda b, s: _round(stats.heatmap(b.positions, resolution=1.0), "densite"),

@@ -61,6 +61,26 @@ def detector_filter(det: DataFrame, detector: Detector = Detector()) -> DataFram
     return kept if detector.classes is None else kept.where(F.col("class_id").isin(*detector.classes))
 
 
+def suppress(det: DataFrame, most: float = Detector().iou) -> DataFrame:
+    """Of boxes of one frame and class that overlap by more than ``most``, the more confident ones.
+
+    The greedy rule of detectors: in falling order of confidence, of equal ones by
+    ``det_ord``, a box stays if none that stayed before overlaps it by more than
+    ``most`` of their union.  One fold a frame and class, over what stayed so far.
+    """
+    at = ["clip_id", "frame_idx", "class_id"]
+    row = F.struct(-F.col("confidence").alias("order"), "det_ord", *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")))
+    kinds = dict(det.dtypes)
+    item = f"struct<det_ord:{kinds['det_ord']},x1:double,y1:double,x2:double,y2:double>"
+    fold = f"""aggregate(boxes, cast(array() as array<{item}>), (done, d) -> if(
+        exists(done, e -> greatest(least(d.x2, e.x2) - greatest(d.x1, e.x1), 0D) * greatest(least(d.y2, e.y2) - greatest(d.y1, e.y1), 0D)
+          > {float(most)!r}D * ((d.x2 - d.x1) * (d.y2 - d.y1) + (e.x2 - e.x1) * (e.y2 - e.y1)
+            - greatest(least(d.x2, e.x2) - greatest(d.x1, e.x1), 0D) * greatest(least(d.y2, e.y2) - greatest(d.y1, e.y1), 0D))),
+        done, concat(done, array(cast(named_struct('det_ord', d.det_ord, 'x1', d.x1, 'y1', d.y1, 'x2', d.x2, 'y2', d.y2) as {item})))))"""
+    kept = det.groupBy(*at).agg(F.array_sort(F.collect_list(row)).alias("boxes")).select(*at, F.explode(F.expr(fold)).alias("kept"))
+    return det.join(kept.select(*at, F.col("kept.det_ord").alias("det_ord")), [*at, "det_ord"], "left_semi")
+
+
 def check_clips(clips: DataFrame) -> DataFrame:
     """``clips(clip_id, fps, nb_frames)``; a clip without a frame rate or frames is an error when it is read."""
     bad = F.coalesce(F.col("fps") <= 0, F.lit(True)) | F.coalesce(F.col("nb_frames") <= 0, F.lit(True))

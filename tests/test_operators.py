@@ -353,6 +353,83 @@ def test_metadata(spark):
     assert (blank.tracker, blank.homographie_methode, blank.homographie_nb_points, blank.nb_frames_total) == (None,) * 4 and blank.fps == 5
 
 
+def test_players_are_components(spark):
+    positions = spark.createDataFrame([(c, t, 0, t, 1.0, 1.0, False) for c, ts in ((1, (1, 2, 3)), (2, (1, 2, 3, 4))) for t in ts], POSITIONS)
+    pairs = spark.createDataFrame([(1, 1, 2), (1, 2, 1), (1, 7, 8), (2, 1, 2), (2, 2, 3), (2, 3, 1), (3, 1, 2)], "clip_id long, a long, b long")
+    got = {r.clip_id: (r.nb_tracks, r.nb_reprises, r.nb_joueurs) for r in tracks.player_estimate(positions, pairs).collect()}
+    assert got == {1: (3, 3, 2), 2: (4, 3, 2)}
+    assert {r.clip_id: r.nb_joueurs for r in tracks.player_estimate(positions, pairs.limit(0)).collect()} == {1: 3, 2: 4}
+
+
+def test_low_stage_has_its_own_limit():
+    """An unsure box that overlaps a track by less than a half never continues it, whether or not sure boxes matched in its frame."""
+    for sure in ([], [(300, 300, 340, 380)]):
+        rows = clip([(f, [(10, 10, 50, 90), *sure]) for f in range(4)] + [(4, [(35, 10, 75, 90), *sure])])
+        rows.loc[(rows.frame_idx == 4) & (rows.x1 == 35), "confidence"] = 0.2
+        ids = tracking.track_clip(rows, tracking.TrackerConfig(), 25)
+        assert ids[(rows.frame_idx == 4) & (rows.x1 == 35)].tolist() == [0]
+    near = rows.copy()
+    near.loc[(near.frame_idx == 4) & (near.x1 == 35), ["x1", "x2"]] = (15, 55)
+    assert tracking.track_clip(near, tracking.TrackerConfig(), 25)[(near.frame_idx == 4) & (near.x1 == 15)].tolist() != [0]
+
+
+def test_suppress(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for n in range(120):
+        x, y = rng.integers(0, 60, 2)
+        rows.append((1, int(n % 4), n, float(x), float(y), float(x + 20), float(y + 30), round(float(rng.integers(1, 6)) / 10, 1), int(n % 3 == 0)))
+    det = spark.createDataFrame(rows, "clip_id long, frame_idx long, det_ord long, x1 float, y1 float, x2 float, y2 float, confidence double, class_id int")
+    for most in (0.2, 0.5):
+        want = set()
+        for key in {(r[1], r[8]) for r in rows}:
+            stay = []
+            for r in sorted((r for r in rows if (r[1], r[8]) == key), key=lambda r: (-r[7], r[2])):
+                if all(tracking.iou(np.array([r[3:7]]), np.array([s[3:7]]))[0, 0] <= most for s in stay):
+                    stay.append(r)
+            want |= {r[2] for r in stay}
+        assert {r.det_ord for r in detections.suppress(det, most).collect()} == want
+
+
+def test_from_boxes_to_results(spark, tmp_path):
+    """Boxes of two players and a referee walk over the court; all results, through files."""
+    rows = []
+    for f in range(60):
+        for t, (y, c) in enumerate(((200, 0), (300, 0), (150, 2))):
+            x = 100 + 4 * f
+            rows.append((1, f, 3 * f + t, x - 10.0, y - 60.0, x + 10.0, float(y), 0.9, c))
+    boxes = spark.createDataFrame(rows, "clip_id long, frame_idx long, det_ord long, x1 double, y1 double, x2 double, y2 double, confidence double, class_id int")
+    frames = boxes.select("clip_id", "frame_idx").distinct()
+    torsos = boxes.select("clip_id", "frame_idx", "det_ord", *(F.when(F.col("y2") == 200, 20.0).otherwise(200.0).alias(c) for c in "bgr"))
+    pairs = {n: {"pixel": p, "terrain_m": m} for n, p, m in (("A", (0, 0), (0, 0)), ("B", (800, 0), (40, 0)), ("C", (800, 400), (40, 20)), ("D", (0, 400), (0, 20)))}
+    done = match.analyse_boxes(boxes, frames, 10.0, homography.calibrate(pairs), torsos=torsos, tracker="botsort")
+    match.write(done, str(tmp_path))
+    stats_ = spark.read.parquet(f"{tmp_path}/stats_joueurs.parquet").collect()
+    assert len(stats_) == 2 and all(abs(r.vitesse_moyenne_m_s - 2.0) < 0.05 for r in stats_)
+    assert spark.read.csv(f"{tmp_path}/stats_joueurs.csv", header=True).count() == 2
+    assert {r.equipe for r in match.read_block_width(spark, str(tmp_path)).collect()} == {"MHB", "ADV"}
+    meta = match.metadata_dicts(done)[1]
+    assert meta["tracker"] == "botsort" and meta["homographie_nb_points"] == 4 and meta["nb_trackers_total"] == 3 and meta["nb_joueurs_classes"] == 2
+    assert meta["longueur_track_moyenne"] == 59.0 and meta["nb_joueurs_estimes"] == 2
+    assert stats.longest(done.stats, 1).count() == 1 and match.detection_seconds(1500, 2) == 30.0
+    boxes.write.parquet(f"{tmp_path}/boxes")
+    frames.write.parquet(f"{tmp_path}/frames")
+    (tmp_path / "h.json").write_text(__import__("json").dumps(pairs))
+    from rallygrid.cli import main
+
+    given = ["analyse", "--detections", f"{tmp_path}/boxes", "--frames", f"{tmp_path}/frames", "--output", f"{tmp_path}/out", "--fps", "10", "--subsample", "1"]
+    assert main([*given, "--homographie", f"{tmp_path}/h.json", "--tracker", "bytetrack"]) == 0
+    assert spark.read.parquet(f"{tmp_path}/out/stats_joueurs.parquet").count() == 2 and (tmp_path / "out/clips.parquet").exists()
+    assert main(given) == 2 and main([*given, "--homographie", f"{tmp_path}/none.json"]) == 1
+
+
+def test_class_names(spark):
+    from rallygrid.functions.scalar import class_name
+
+    got = spark.range(5).select(class_name(F.col("id").cast("int")).alias("name")).collect()
+    assert [r.name for r in got] == ["players", "goalkeeper", "referees", "ball", None]
+
+
 def test_scans(spark):
     frames = spark.range(40).select(F.lit(1).cast("long").alias("clip_id"), F.col("id").alias("frame_idx"))
     assert one(detections.batches(detections.sample_frames(frames, 2))).n_batches == 3
