@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
@@ -11,15 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import mapped, new_folder, written
+from .common import discard, mapped, new_folder, shuffle_partitions, written
 
 STRIPPED = b"\x20\x09\x0a\x0b\x0c\x0d"
 KEY = ["h1", "h2"]
+DOCS_A_TASK = 2_000  # documents of a batch for each partition of a shuffle
 
 
 class LineRuns:
     """Sorted runs of ``(h1, h2, n_docs, holder)`` in levels, as tables in the shared folder.
 
+    A run is bucketed by its key into as many files as a shuffle has partitions, each
+    sorted, so runs meet bucket by bucket: they are neither shuffled nor sorted again.
+
     A batch is merge-anti-joined with the runs: keys that no run has yet are fresh
     and take their holder, the largest id of the batch; keys that some run has
     only add to its count.  The batch then becomes a run of level 0.  ``fanout``
@@ -29,8 +35,8 @@ class LineRuns:
     Batches come in falling order of ids, so that the first holder is the largest.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = 3):
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, spark: SparkSession, fanout: int = 2):
+        self.spark, self.fanout, self.buckets = spark, fanout, shuffle_partitions(spark)
         self.levels: list[list[DataFrame]] = [[]]
 
     def runs(self) -> list[DataFrame]:
@@ -39,42 +45,70 @@ class LineRuns:
     def add(self, batch: DataFrame) -> None:
         """Add ``batch(h1, h2, doc_id)``, a row for each line key of each document."""
         own = batch.groupBy(*KEY).agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("holder"))
-        if self.runs():
-            own = written(own, "line-batch")
-            seen = reduce(DataFrame.unionByName, [run.select(*KEY) for run in self.runs()])
-            fresh = own.join(seen, KEY, "left_anti")
-            again = own.join(seen, KEY, "left_semi").withColumn("holder", F.lit(None).cast("long"))
-            own = fresh.unionByName(again)
-        self.levels[0].append(self._run(own))
+        for k, run in enumerate(self.runs()):
+            own = own.join(run.select(*KEY, F.lit(True).alias(f"in{k}")), KEY, "left")
+        fresh = reduce(lambda c, k: c & F.col(f"in{k}").isNull(), range(len(self.runs())), F.lit(True))
+        self.levels[0].append(self._run(own.select(*KEY, "n_docs", F.when(fresh, F.col("holder")).alias("holder"))))
         self._compact()
 
     def _run(self, df: DataFrame) -> DataFrame:
-        return written(df, "line-run", *KEY)
+        """Write a run; the catalogue needs to know it only until it is opened."""
+        path, name = new_folder(self.spark, "line-run"), f"rallygrid_line_run_{uuid.uuid4().hex}"
+        with _sorted_buckets(self.spark):
+            df.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).format("parquet").saveAsTable(name)
+        run = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the files stay
+        run.written_at = path
+        return run
 
     def _merge(self, runs: list[DataFrame]) -> DataFrame:
-        if len(runs) == 1:
-            return runs[0]
-        return reduce(DataFrame.unionByName, runs).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("holder").alias("holder"))
+        """Two runs at a time, by their order.  A union of runs would be wrong: Spark 4.1 takes it for bucketed when it isn't."""
+        merged = runs[0]
+        for run in runs[1:]:
+            other = run.select(*KEY, F.col("n_docs").alias("n"), F.col("holder").alias("other"))
+            n_docs = F.coalesce("n_docs", F.lit(0)) + F.coalesce("n", F.lit(0))
+            merged = merged.join(other, KEY, "full_outer").select(*KEY, n_docs.alias("n_docs"), F.greatest("holder", "other").alias("holder"))
+        return merged
 
     def _compact(self) -> None:
         for depth in range(len(self.levels)):
             if len(self.levels[depth]) >= self.fanout:
                 if depth + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[depth + 1].append(self._run(self._merge(self.levels[depth])))
+                old = self.levels[depth]
+                self.levels[depth + 1].append(self._run(self._merge(old)))
                 self.levels[depth] = []
+                discard(*old)
 
     def repeated(self, min_docs: int) -> DataFrame | None:
-        """Keys that ``min_docs`` documents or more hold, with their holder."""
-        return self._merge(self.runs()).where(F.col("n_docs") >= min_docs).select(*KEY, "holder") if self.runs() else None
+        """Keys that ``min_docs`` documents or more hold, with their holder; the runs are closed."""
+        if not self.runs():
+            return None
+        with _sorted_buckets(self.spark):
+            found = written(self._merge(self.runs()).where(F.col("n_docs") >= min_docs).select(*KEY, "holder"), "line-shared")
+        discard(*self.runs())
+        self.levels = [[]]
+        return found
+
+
+@contextmanager
+def _sorted_buckets(spark: SparkSession):
+    """Let Spark rely on the order of a bucket's one file, for the jobs run inside."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def dedup_lines(
     docs: DataFrame,
     min_chars: int = 40,
     min_docs: int = 5,
-    batches: int = 4,
-    fanout: int = 3,
+    batches: int | None = None,
+    fanout: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
     carry: Sequence[str] = (),
@@ -87,6 +121,10 @@ def dedup_lines(
     ``min_docs`` ids or more count as shared.  All lines of such a key go, and stay
     only in the largest id.  What stays is joined by line feeds.
 
+    Documents come in ``batches`` by their ids; unless given, a batch has about
+    ``DOCS_A_TASK`` documents for each partition of a shuffle, so their number
+    follows the input.
+
     Null and empty texts are one empty line.  A null id neither counts nor loses
     lines; rows of one id are one document.  The columns named in ``carry`` come
     after the others as they are; further ones are ignored.
@@ -96,22 +134,26 @@ def dedup_lines(
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carried)
     keys = mapped(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), _keyer(min_chars), "doc_id long, h1 long, h2 long")
     path, schema = new_folder(spark, "line-keys"), "doc_id long, h1 long, h2 long, batch int"
-    edges = docs.where("doc_id IS NOT NULL").approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)
+    if batches is None:
+        batches = max(1, -(-docs.count() // (DOCS_A_TASK * shuffle_partitions(spark))))
+    edges = docs.where("doc_id IS NOT NULL").approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.2 / batches) if batches > 1 else []
     number = reduce(lambda c, e: c + (F.col("doc_id") < F.lit(int(e))).cast("int"), edges, F.lit(0))  # 0: the largest ids
     keys.withColumn("batch", number).write.partitionBy("batch").parquet(path)
     keys = spark.read.schema(schema).parquet(path)
 
     runs = LineRuns(spark, fanout)
-    for batch in range(batches):
+    for batch in range(len(edges) + 1):
         runs.add(keys.where(F.col("batch") == batch).select("doc_id", *KEY))
     shared = runs.repeated(min_docs)
     drops = (
-        keys.join(written(shared, "line-shared"), KEY).where("doc_id < holder")
+        keys.join(shared, KEY).where("doc_id < holder")
         .groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("drops"))
     )
-    joined = docs.join(drops, "doc_id", "left").select(
-        "doc_id", "text", F.col("drops.h1").alias("d1"), F.col("drops.h2").alias("d2"), *(f"_carry{k}" for k in range(len(carry)))
-    )
+    drops = drops.select("doc_id", F.col("drops.h1").alias("d1"), F.col("drops.h2").alias("d2"))
+    none = [F.lit(None).cast("array<long>").alias(c) for c in ("d1", "d2")]
+    own = [f"_carry{k}" for k in range(len(carry))]
+    joined = docs.where("doc_id IS NOT NULL").join(drops, "doc_id", "left").select("doc_id", "text", "d1", "d2", *own)
+    joined = joined.unionByName(docs.where("doc_id IS NULL").select("doc_id", "text", *none, *own))  # these would all meet in one task
     more = [StructField(c.name, c.dataType) for c in joined.schema.fields[4:]]
     schema = StructType([*_DONE.fields, *more])
     done = mapped(joined, _dropper(min_chars), schema)

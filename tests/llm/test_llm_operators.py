@@ -84,6 +84,12 @@ def test_lines(which, fanout, request):
     assert Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in done) == brute_lines(docs.collect())
 
 
+@pytest.mark.parametrize("batches", [1, 7])
+def test_lines_in_any_number_of_batches(small, batches):
+    done = line_dedup.dedup_lines(small, batches=batches, fanout=2).collect()
+    assert Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in done) == brute_lines(small.collect())
+
+
 def test_lines_carry(odd):
     done = line_dedup.dedup_lines(odd, carry=["lang", "score"])
     assert done.columns == ["doc_id", "text", "n_lines", "n_dropped", "lang", "score"]
