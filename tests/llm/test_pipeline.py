@@ -66,7 +66,7 @@ def odd(spark):
     """Nulls in every column, empty, blank, long and repeated texts, repeated rows and names that clash with the stages' own."""
     long = " ".join(f"word{k % 977}" for k in range(20_000))
     plain = "\n".join(" ".join(f"plain{k * n % 83}" for k in range(12)) + "." for n in range(1, 9))
-    texts = [None, "", " \t\n ", "one two", long, plain, plain, plain.replace("plain7", "other"), f"{LINE}\nown"]
+    texts = [None, "", " \t\n ", "one two", long, plain, plain, plain.replace("plain48 ", "other "), f"{LINE}\nown"]
     rows = [(i, t, "en", None, 1, 2, 0.5, 0.25, "a", 1, 2) for i, t in enumerate(texts)]
     rows += [(100 + i, f"{LINE}\nline {i}", None, 0, *[None] * 7) for i in range(6)]
     rows += [rows[5], (None, plain, *[None] * 9), (None, None, *[None] * 9)]
