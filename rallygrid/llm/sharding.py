@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import shuffle_partitions, written
+from .common import discard, shuffle_partitions, written
 
 #: The generator of the published algorithm (Lamping and Veach, 2014).
 STEP, SHIFT, SCALE = 2862933555777941757, 33, float(1 << 31)
@@ -52,23 +51,25 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
 
     Slots need no task that holds a shard: rows are sorted by shard and id over as
     many range partitions as there are tasks, numbered in each, and moved on by
-    the counts of the partitions before.
+    the counts of the partitions before.  The numbers of each row are written
+    before that, as sorting by range reads its input twice: texts are read once.
     """
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
-    narrow = docs.select(
+    narrow = written(docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
         jump_shard(F.col(id_col), shards).alias("shard"),
         jump_shard(F.col(id_col), shards + 1).alias("grown_shard"),
         F.spark_partition_id().alias("origin"),  # so that very many rows of one id can be split
-    )
+    ), "shard-rows")
     order = ["shard", "doc_id", "text_crc32", "size", "origin"]
     sorted_ = written(
         narrow.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()),
         "shards",
     )
+    discard(narrow)
     counts = sorted_.groupBy("shard", "part").agg(F.count("*").alias("n"))  # a row for each shard and partition
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
