@@ -17,10 +17,12 @@ from itertools import chain
 import ahocorasick
 import regex
 
-from .tokens import LONGEST, REMEMBERED, WORDS, WordMemo
+from .tokens import WORDS, Memo
 
 NONE = 1 << 62
-PAIRS = 250_000
+#: Bounds of what a worker remembers: pairs of tokens, and of each of its two memos half
+#: the words; at some 130 and 250 bytes an entry, 65 and 300 MB.
+PAIRS, REMEMBERED = 500_000, 300_000
 
 
 class Vocabulary:
@@ -39,8 +41,8 @@ class Vocabulary:
             if self.halves(token):
                 self._ends.add_word(raw.decode("latin-1"), (token, len(raw)))
         self._ends.make_automaton()
-        self._memo = WordMemo(self._words)
-        self._matches: dict[str, tuple[int, ...]] = {}
+        self._matches = Memo(self.match, REMEMBERED)
+        self._memo = Memo(lambda word: self._words(" " + word), REMEMBERED)
 
     @staticmethod
     @lru_cache(maxsize=4)
@@ -121,23 +123,16 @@ class Vocabulary:
 
     def match(self, text: str) -> tuple[int, ...]:
         """The ids of one split match; a match that is a token is that token."""
-        code = self._matches.get(text)
-        if code is None:
-            raw = text.encode()
-            if (whole := self.ranks.get(raw)) is not None:
-                code = (whole,)
-            else:
-                last: list[int] = []
-                self.extend(last, raw)
-                code = tuple(self.walk(last))
-            if len(text) <= LONGEST:
-                if len(self._matches) >= REMEMBERED:
-                    self._matches.clear()
-                self._matches[text] = code
-        return code
+        raw = text.encode()
+        if (whole := self.ranks.get(raw)) is not None:
+            return (whole,)
+        last: list[int] = []
+        self.extend(last, raw)
+        return tuple(self.walk(last))
 
     def _words(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.match, self.split(text))))
+        parts = self.split(text)
+        return self._matches[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable(map(self._matches.__getitem__, parts)))
 
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text."""

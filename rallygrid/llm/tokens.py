@@ -19,17 +19,25 @@ WORDS = re.compile(r" (?=\S)")
 REMEMBERED, LONGEST = 100_000, 64
 
 
-class WordMemo(dict):
-    """The code of each word after a space; emptied when it holds ``REMEMBERED`` words."""
+class Memo(dict):
+    """What ``encode`` gives for each word, of at most twice ``most`` words.
 
-    def __init__(self, encode):
+    When it holds ``most`` words they become the older ones, in place of those before
+    them.  An older word that comes again is taken over, so frequent words stay
+    however many rare ones pass.
+    """
+
+    def __init__(self, encode, most: int = REMEMBERED):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most, self.older = encode, most, {}
 
     def __missing__(self, word: str):
-        code = self.encode(" " + word)
+        code = self.older.get(word)
+        if code is None:
+            code = self.encode(word)
         if len(word) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[word] = code
         return code
@@ -40,7 +48,7 @@ class WordEncoder:
 
     def __init__(self, encode):
         self._one = lambda text: array("I", encode(text)).tobytes()
-        self._memo = WordMemo(self._one)
+        self._memo = Memo(lambda word: self._one(" " + word))
 
     def encode(self, text: str) -> bytes:
         first, *rest = WORDS.split(text)

@@ -19,6 +19,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 from rallygrid.llm import bpe, line_dedup, near_dedup, oracles, packing, prefix_bpe, quality_classifier, sharding, text_stats, topk, toxicity, warc, weak_quality
+from rallygrid.llm.tokens import LONGEST, Memo
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -557,6 +558,17 @@ def test_bpe(which, request):
     assert Counter(tuple(r) for r in rows) == want
 
 
+def test_memo_is_bounded_and_keeps_frequent_words():
+    asked = []
+    memo = Memo(lambda word: asked.append(word) or word.upper(), most=10)
+    for k in range(1000):
+        assert memo["the"] == "THE" and memo[f"rare{k}"] == f"RARE{k}"
+        assert len(memo) <= 10 and len(memo.older) <= 10
+    assert asked.count("the") == 1
+    long = "x" * (LONGEST + 1)
+    assert memo[long] == long.upper() and long not in memo
+
+
 def test_prefix_table_under_edits():
     vocabulary = prefix_bpe.Vocabulary.of_file(RANKS, public_tokenizers.PATTERN)
     rng = np.random.default_rng(8)
